@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from nestframe.llm.common import cut, read, word_count
 
 #: About so many documents are sorted together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return level.select("src", "src_null", "source_size", "source_weight", F.when(free, F.col("shared") * F.col("source_weight")).otherwise(F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "mix", quality: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, epochs, taken.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "mix", quality: str | None = None, size: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row a row of ``docs`` (doc_id, source, and text or a column of sizes named by ``size``): doc_id, source, size, source_size, target, epochs, taken.
 
     ``taken`` counts words with repeats: ``epochs`` times the size, and the size once more for
     documents within the rest of the target; the document at the edge gives the words that still fit,
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     that repeat count each. An empty table gives an empty result. Other columns are not looked at.
     """
     weight = F.lit(1.0) if quality is None else F.when(F.col(quality) > 0, F.col(quality).cast("double")).otherwise(F.lit(1.0))
-    sized = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), word_count(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("es_key"))
+    sized = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), (word_count(F.col("text")) if size is None else F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("es_key"))
     sized = cut(sized)
     buckets = max(1, -(-sized.count() // bucket_rows))
     sized = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("es_key"))) * buckets).cast("long"))
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents; good labels weigh 2, bad ones 1, no label 1.5."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg((1 + F.avg("quality")).alias("label_weight"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left")
-    return mix(docs.withColumn("w", F.coalesce("label_weight", F.lit(1.5))), quality="w").select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")).join(labels, "doc_id", "left")
+    return mix(docs.withColumn("w", F.coalesce("label_weight", F.lit(1.5))), quality="w", size="words").select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 OP10_SQL = r"""
