@@ -1,9 +1,10 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import mixing, warc
+from nestframe.llm import mixing, spm, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
+    "op7_sentencepiece": spm.op7_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
 }
 
