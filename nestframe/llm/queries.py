@@ -1,10 +1,11 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import mixing, spm, warc
+from nestframe.llm import jaccard, mixing, spm, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
     "op7_sentencepiece": spm.op7_sentencepiece,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
 }
 
