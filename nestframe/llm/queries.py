@@ -1,8 +1,10 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import jaccard, mixing, spm, warc
+from nestframe.llm import jaccard, langid, mixing, quality, spm, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_language_id": langid.op2_language_id,
     "op4_warc": warc.op4_warc,
     "op7_sentencepiece": spm.op7_sentencepiece,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
