@@ -119,6 +119,12 @@ def features(text: str, start: int, end: int, atoms: int) -> list[float]:
 SIZE = 20
 
 
+def forms(values: np.ndarray) -> np.ndarray:
+    """By span and kind, whether the span has a form of that kind at all; others are no candidates."""
+    email, quad, card, phone, local, token = (values[:, c] > 0 for c in (1, 2, 3, 5, 7, 9))
+    return np.column_stack([email, quad, card, phone | local, token])
+
+
 @dataclass
 class Lattice:
     """Atoms' borders of a window, candidate spans as pairs of borders, and their features."""
@@ -127,6 +133,9 @@ class Lattice:
     spans: list[tuple[int, int]] = field(default_factory=list)
     values: np.ndarray | None = None
 
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.where(forms(self.values), self.values @ weights, -1e9)
+
 
 def lattice(text: str, start: int, end: int) -> Lattice:
     """A window's atoms and the stretches of them that may be a span: they hold a digit or @ and begin and end visibly."""
@@ -146,13 +155,15 @@ def lattice(text: str, start: int, end: int) -> Lattice:
                 out.spans.append((i, j + 1))
                 values.append(features(text, atoms[i][0], atoms[j][1], j + 1 - i))
     out.values = np.array(values) if values else np.zeros((0, SIZE))
+    fit_for_some = forms(out.values).any(1)
+    out.spans, out.values = [s for s, ok in zip(out.spans, fit_for_some, strict=True) if ok], out.values[fit_for_some]
     return out
 
 
 def decode(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """The best segmentation: (start, end, kind) of its spans. An atom outside of spans adds 0."""
     n = len(lat.borders) - 1
-    scores = lat.values @ weights
+    scores = lat.scores(weights)
     ending: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
     for (i, j), s in zip(lat.spans, scores, strict=True):
         k = int(s.argmax())
@@ -194,7 +205,7 @@ def _log_sum(x: np.ndarray) -> float:
 
 def gradient(lat: Lattice, gold: set[tuple[int, int, int]], weights: np.ndarray) -> np.ndarray:
     """Observed minus expected features of a window's segmentation, by forward and backward sums."""
-    n, scores = len(lat.borders) - 1, lat.values @ weights
+    n, scores = len(lat.borders) - 1, lat.scores(weights)
     ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
     total = np.log(np.exp(scores - scores.max(1, keepdims=True)).sum(1)) + scores.max(1)
     ending: list[list[int]] = [[] for _ in range(n + 1)]
