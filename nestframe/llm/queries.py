@@ -1,12 +1,13 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import jaccard, langid, mixing, pii, quality, spm, topk, warc
+from nestframe.llm import ann, jaccard, langid, mixing, pii, quality, spm, topk, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_language_id": langid.op2_language_id,
     "op4_warc": warc.op4_warc,
     "op3_exact_topk": topk.op3_exact_topk,
+    "op5_ann": ann.op5_ann,
     "op6_pii": pii.op6_pii,
     "op7_sentencepiece": spm.op7_sentencepiece,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
