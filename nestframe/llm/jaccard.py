@@ -4,11 +4,11 @@ A set's shingles are hashed into groups; the counts by group are a point. Two se
 than the summed coordinate minima of their points, so pairs are bounded before any set is looked at.
 
 * Sets that are equal are one node, known by a hash of the whole set.
-* Points meet by shared keys: under one order of all shingles, sets that link must share one of their
-  first n - ceil(t n) + 1 shingles. The order puts frequent shingles last (a frequency sketch of fixed
-  size, which changes speed, never results), so passages that many documents share are hardly ever keys.
-* Within a key a bulk-loaded R-tree over the points joins leaves whose boxes' summed minima allow a link.
-  Keys with very many nodes are split into blocks that meet pairwise.
+* Points meet by shared keys: sets that link differ in at most d shingles, a number that follows from their
+  sizes, so of more than d parts into which all shingles fall by hash, one at least is the same in both. A part's
+  content is the key. Keys that hold the same nodes are one. Passages that many documents share seldom fill a part.
+* Within a key a bulk-loaded R-tree over the points joins leaves whose boxes' summed minima allow a link,
+  and finer counts bound what is left. Keys with very many nodes are split into blocks that meet pairwise.
 * A first round keeps a spanning forest of each key's possible pairs and verifies it on the sets. A
   second round takes the possible pairs that are still in different components, so no link between
   components is lost and a group of many near copies costs little more than its size.
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from nestframe.llm.common import cut, read
 from nestframe.llm.graph import components
-from nestframe.llm.shingles import shingle_sets
+from nestframe.llm.shingles import BASE, mix64, shingle_sets
 
-#: Coordinates of a point; cells of the frequency sketch; bits of the node filter (all of fixed size).
-GROUPS, CELLS, BITS = 32, 1 << 20, 1 << 26
-#: A sketch cell seen less often than this in a task isn't reported.
-SEEN = 4
+#: Coordinates of a point, and of its finer counts; bits of the node filter (of fixed size).
+GROUPS, FINE, BITS = 32, 256, 1 << 26
+#: Sizes are dealt into intervals that grow by this factor; a set may have this share more parts than it needs.
+GROWTH, SPARE = 1.5, 0.15
 #: Points in an R-tree leaf; nodes of a key that meet in one task, beyond which its blocks meet pairwise.
 LEAF, BLOCK = 48, 20_000
 
@@ -42,51 +42,60 @@ def _rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
 def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """A sketch of how many sets hold each cell's shingles: CELLS numbers, whatever the input's size."""
+def intervals(percent: int) -> list[tuple[int, int, int, int]]:
+    """(low, high, d, parts) of size intervals: sets that link, the larger in the interval, differ in d shingles at most.
 
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for part in _rows(batches):
-            cells = [_cell(s) for s in shingle_sets(part.column("text").to_pylist(), k)]
-            if cells:
-                total += np.bincount(np.concatenate(cells), minlength=CELLS)
-        kept = np.flatnonzero(total >= SEEN)
-        for start in range(0, len(kept), 50_000):
-            part = kept[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
-
-    out = np.zeros(CELLS, np.int32)
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = found.select(F.col("cell").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # CELLS rows at most
-    out[table["cell"].to_numpy()] = table["n"].to_numpy()
+    Intervals grow by more than 100 / percent, so the smaller set is in the same interval or the one before."""
+    growth, low, out = max(GROWTH, 105 / percent), 1, []
+    while low < 1 << 40:
+        high = max(low, int(low * growth))
+        d = 2 * high * (100 - percent) // (100 + percent)
+        out.append((low, high, d, int((d + 1) * (1 + SPARE)) + 1))
+        low = high + 1
     return out
 
 
-def points(docs: DataFrame, k: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), node, point (GROUPS int32 in binary), keys of every row; an empty set's node is null."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequency)
+def part_keys(s: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """A set's keys, for its own interval and, where it may link to sets of the next, for that too.
+
+    Equal parts may be equal in being empty. A set with fewer empty parts than are to spare shares a part that
+    isn't with every set it links to; only sets with more have their empty parts as keys."""
+    n, hashed, out = len(s), mix64(s + BASE), []
+    own = next(i for i, x in enumerate(known) if n <= x[1])
+    for i in (own, own + 1) if 100 * n >= percent * known[own + 1][0] else (own,):
+        _, _, d, parts = known[i]
+        if d:
+            part = (hashed % np.uint64(parts)).astype(np.int64)
+            content = np.zeros(parts, np.uint64)
+            np.add.at(content, part, hashed)
+            full = np.bincount(part, minlength=parts) > 0
+            keys = mix64(mix64(content) + np.arange(parts, dtype=np.uint64) * BASE + np.uint64(i))
+            out.append(keys if parts - full.sum() > parts - d - 1 else keys[full])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def counts(s: np.ndarray) -> bytes:
+    """Shingles by fine group, a byte each, or four where a byte is too small."""
+    c = np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+    return c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def points(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n (set size), node, point (counts by fine group), keys of every row; an empty set's node is null."""
+    known = intervals(percent)
 
     def run(batches):
-        order = sent.value
         for part in _rows(batches):
             sizes, nodes, at, keys = [], [], [], []
             for s in shingle_sets(part.column("text").to_pylist(), k):
-                n = len(s)
-                sizes.append(n)
-                nodes.append(_node(s) if n else None)
-                at.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
-                first = n - -(-n * percent // 100) + 1 if n else 0
-                ranked = np.lexsort((s, order[_cell(s)]))[:first]
-                keys.append(s[ranked].view(np.int64))
+                sizes.append(len(s))
+                nodes.append(_node(s) if len(s) else None)
+                at.append(counts(s))
+                keys.append(part_keys(s, percent, known).view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(at, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "point", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -108,12 +117,14 @@ def leaves(x: np.ndarray) -> list[np.ndarray]:
     return done
 
 
-def possible(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def possible(fine: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of pairs to look at, as two index arrays, a mask of pairs that may link, and their bounds.
 
     ``side`` is 0 or 1: where both occur, only pairs across are looked at. A pair of leaves is passed
-    over when the minima of its boxes' upper corners sum to less than a link needs.
+    over when the minima of its boxes' upper corners sum to less than a link needs; what is left is bounded
+    by the points, then by the finer counts.
     """
+    x = fine.reshape(len(fine), GROUPS, -1).sum(2)
     tree = leaves(x)
     high = np.array([x[p].max(0) for p in tree])
     low_n = np.array([n[p].min() for p in tree])
@@ -128,8 +139,13 @@ def possible(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> It
                 ok &= np.triu(np.ones_like(ok), 1)
             if across:
                 ok &= side[a][:, None] != side[b][None, :]
-            if ok.any():
-                yield a, b, ok, shared / (n[a][:, None] + n[b][None, :])
+            r, c = np.nonzero(ok)
+            if len(r):
+                shared = np.zeros(ok.shape)
+                shared[r, c] = closer = np.minimum(fine[a[r]], fine[b[c]]).sum(1)
+                ok[r, c] = closer * (100 + percent) >= percent * (n[a[r]] + n[b[c]])
+                if ok.any():
+                    yield a, b, ok, shared / (n[a][:, None] + n[b][None, :])
 
 
 def forest(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
@@ -180,7 +196,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(parts)
     out = {c: table[c].to_numpy() for c in table.column_names if c != "point"}
-    out["x"] = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, GROUPS).astype(np.int64)
+    kinds = {FINE: np.uint8, 4 * FINE: np.uint32}
+    out["x"] = np.array([np.frombuffer(p, kinds[len(p)]) for p in table["point"].to_pylist()]).astype(np.int32)
     return out
 
 
@@ -274,14 +291,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     columns are not looked at. Shingles and sets are told apart by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
-    made = cut(points(docs, k, percent, frequencies(docs, k)))
+    made = cut(points(docs, k, percent))
     rows = made.filter("n > 0").select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     member = cut(rows.join(shared, "key").distinct())
-    counts = member.groupBy("key").agg(F.count("*").alias("nodes"))
+    # Near copies share most of their keys: of keys with the same nodes (by two hashes) one is kept.
+    alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (0, 1)))
+    kept = alike.groupBy("nodes", "h0", "h1").agg(F.min("key").alias("key")).select("key", "nodes")
+    member = cut(member.join(kept, "key"))
     seen = member.select("node").distinct()
     point = made.join(seen, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    full = member.join(counts, "key").join(point, "node")
+    full = member.join(point, "node")
     first = cut(candidates(full, percent, False))
     sets = cut(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k))
     edges = cut(verified(first, sets, percent))
