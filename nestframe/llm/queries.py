@@ -1,6 +1,6 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import ann, jaccard, langid, mixing, pii, quality, spm, topk, warc
+from nestframe.llm import ann, jaccard, langid, licenses, mixing, pii, quality, spm, topk, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_sentencepiece": spm.op7_sentencepiece,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
 
