@@ -141,6 +141,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs (any columns, text among them) that score ``threshold`` or more, unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        size = Sizer(known.good, known.bad) if known.weights is not None else lambda _: (0.0, 0.0, 0.0)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                scores = known.score(np.array([size(t or "") for t in part.column("text").to_pylist()]))
+                yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     """Learns from labels of the folds other than 2 of 4."""
     docs = read(spark, sf_dir, "documents")

@@ -218,6 +218,25 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded(docs: DataFrame, model_path: str) -> DataFrame:
+    """The columns of docs but ``text``, with n_tokens, ids, and ``whole``: whether the ids decode to the text."""
+    model = docs.sparkSession.sparkContext.broadcast(load(model_path))
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        own = encoder(model.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows = [t or "" for t in part.column("text").to_pylist()]
+                ids = [own.encode(t) for t in rows]
+                whole = [own.library.decode(x) == t if x else t == "" for x, t in zip(ids, rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(whole)], names=[*kept, "n_tokens", "ids", "whole"])
+
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, whole boolean")
+
+
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
