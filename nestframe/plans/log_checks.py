@@ -1,71 +1,178 @@
 """Checks of a log of stored operations, at any number of documents: every rule is a join or a grouping.
 
-The log has one row a selected field or definition: doc, kind ('operation', 'fragment', 'spread', 'field',
-'variable', 'use', 'argument'), name, and what it belongs to (owner: an operation's or fragment's name; parent_type: the
-type whose field it is; key: its response key).
+The log has one row a definition or selection:
+
+* ``kind``: operation, fragment, spread, field, condition, variable, use, argument or directive;
+* ``name``, and ``owner``, the name of the operation or fragment (for arguments and directives the path of the field)
+  that it stands in; an anonymous operation's name is null;
+* ``parent_type``: the type that a field is selected on, a fragment's or spread's surroundings;
+* ``key`` and ``path``: a field's response key and path; a field's children have its path as ``parent``;
+* ``type``: an operation's kind, a variable's, condition's or fragment's type, the type that a use or argument is expected to
+  have; ``value``: an argument's kind of literal.
+
+Every check gives doc, name, message; a document that is right gives no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.plans.suggest import did_you_mean  # noqa: F401  (for callers that word messages)
+SCHEMA = "doc long, kind string, name string, owner string, parent_type string, key string, path string, parent string, type string, value string"
+#: Rounds of reachability through fragments.
+DEPTH = 32
 
 
 def _of(log: DataFrame, kind: str) -> DataFrame:
     return log.filter(F.col("kind") == kind)
 
 
+def _bad(rows: DataFrame, message: str | Column, name: str = "name") -> DataFrame:
+    return rows.select("doc", F.col(name).alias("name"), (F.lit(message) if isinstance(message, str) else message).alias("message")).distinct()
+
+
 def _twice(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy("doc", *by).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.groupBy("doc", *by).agg(F.count("*").alias("times")).filter("times > 1").drop("times")
 
 
 def unique_names(log: DataFrame, kind: str) -> DataFrame:
-    """Names that a document defines more than once: operations, fragments; variables and arguments by owner."""
+    """Names defined more than once: operations and fragments in a document, variables, arguments and directives by owner."""
     by = ("name",) if kind in ("operation", "fragment") else ("owner", "name")
-    return _twice(_of(log, kind).filter(F.col("name").isNotNull()), *by).select("doc", "name", F.lit(f"There can be only one {kind} named").alias("message"))
+    return _bad(_twice(_of(log, kind).filter(F.col("name").isNotNull()), *by), f"There can be only one {kind} of this name")
 
 
 def lone_anonymous(log: DataFrame) -> DataFrame:
     """Documents with an anonymous operation among several."""
     by = _of(log, "operation").groupBy("doc").agg(F.count("*").alias("n"), F.count("name").alias("named"))
-    return by.filter("n > 1 AND named < n").select("doc", F.lit(None).cast("string").alias("name"), F.lit("This anonymous operation must be the only defined operation").alias("message"))
+    return _bad(by.filter("n > 1 AND named < n").withColumn("name", F.lit(None).cast("string")), "This anonymous operation must be the only defined operation")
+
+
+def single_field_subscriptions(log: DataFrame) -> DataFrame:
+    """Subscriptions with more than one field at their root."""
+    roots = _of(log, "field").filter(F.col("parent").isNull()).groupBy("doc", "owner").agg(F.count("*").alias("n")).filter("n > 1")
+    return _bad(_of(log, "operation").filter("type = 'subscription'").join(roots.withColumnRenamed("owner", "name"), ["doc", "name"], "left_semi"), "Subscription must select only one top level field")
+
+
+def known_types(log: DataFrame, types: DataFrame) -> DataFrame:
+    """Types of conditions, fragments and variables that the schema doesn't have; ``types``: name."""
+    used = log.filter(F.col("kind").isin("condition", "fragment", "variable")).select("doc", F.regexp_replace("type", r"[\[\]!]", "").alias("name")).filter(F.col("name").isNotNull())
+    return _bad(used.join(types.select("name"), "name", "left_anti"), "Unknown type")
+
+
+def composite_conditions(log: DataFrame, types: DataFrame) -> DataFrame:
+    """Conditions and fragments on types without fields; ``types``: name, kind."""
+    flat = types.filter(~F.col("kind").isin("OBJECT", "INTERFACE", "UNION")).select(F.col("name").alias("type"))
+    return _bad(log.filter(F.col("kind").isin("condition", "fragment")).join(flat, "type", "left_semi"), "Fragment cannot condition on non composite type", "type")
+
+
+def input_variables(log: DataFrame, types: DataFrame) -> DataFrame:
+    """Variables of types that arguments can't have."""
+    output = types.filter(F.col("kind").isin("OBJECT", "INTERFACE", "UNION")).select(F.col("name").alias("bare"))
+    return _bad(_of(log, "variable").withColumn("bare", F.regexp_replace("type", r"[\[\]!]", "")).join(output, "bare", "left_semi"), "Variable cannot be non-input type")
+
+
+def scalar_leafs(log: DataFrame, fields: DataFrame) -> DataFrame:
+    """Fields with subfields on a leaf type, or without on others; ``fields``: type_name, name, leaf."""
+    known = fields.select(F.col("type_name").alias("parent_type"), "name", "leaf")
+    parents = _of(log, "field").filter(F.col("parent").isNotNull()).select("doc", "owner", F.col("parent").alias("path")).distinct().withColumn("has", F.lit(True))
+    met = _of(log, "field").join(known, ["parent_type", "name"]).join(parents, ["doc", "owner", "path"], "left")
+    wrong = met.filter(F.col("leaf") == F.coalesce("has", F.lit(False)))
+    return _bad(wrong, F.when(F.col("leaf"), "Field must not have a selection since its type has no subfields").otherwise("Field must have a selection of subfields"))
 
 
 def known_fields(log: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields that their type doesn't have; ``fields``: type_name, name."""
     known = fields.select(F.col("type_name").alias("parent_type"), "name")
-    return _of(log, "field").filter("name <> '__typename'").join(known, ["parent_type", "name"], "left_anti").select("doc", "name", F.concat(F.lit("Cannot query field on type "), "parent_type").alias("message")).distinct()
+    return _bad(_of(log, "field").filter("name <> '__typename'").join(known, ["parent_type", "name"], "left_anti"), F.concat(F.lit("Cannot query field on type "), "parent_type"))
 
 
 def known_fragments(log: DataFrame) -> DataFrame:
     """Spreads of fragments that their document doesn't define."""
-    return _of(log, "spread").join(_of(log, "fragment").select("doc", "name"), ["doc", "name"], "left_anti").select("doc", "name", F.lit("Unknown fragment").alias("message")).distinct()
+    return _bad(_of(log, "spread").join(_of(log, "fragment").select("doc", "name"), ["doc", "name"], "left_anti"), "Unknown fragment")
 
 
-def unused_fragments(log: DataFrame, depth: int = 16) -> DataFrame:
-    """Fragments that no operation reaches, through ``depth`` fragments at most (deeper ones count as reached)."""
-    spreads = _of(log, "spread").select("doc", "owner", "name").distinct()
-    fragments = _of(log, "fragment").select("doc", "name").distinct()
-    reached = spreads.join(_of(log, "operation").select("doc", F.col("name").alias("owner")), ["doc", "owner"], "left_semi").select("doc", "name").distinct()
+def unused_fragments(log: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Fragments that no operation reaches through up to ``depth`` others; an anonymous operation is the owner ``null``."""
+    edge = lambda c: F.coalesce(F.col(c), F.lit("")).alias("owner")
+    spreads = _of(log, "spread").select("doc", edge("owner"), "name").distinct()
+    reached = spreads.join(_of(log, "operation").select("doc", edge("name")), ["doc", "owner"], "left_semi").select("doc", "name").distinct()
     for _ in range(depth):
         further = spreads.join(reached.withColumnRenamed("name", "owner"), ["doc", "owner"]).select("doc", "name").join(reached, ["doc", "name"], "left_anti").distinct()
         if further.isEmpty():
             break
         reached = reached.unionByName(further)
-    return fragments.join(reached, ["doc", "name"], "left_anti").select("doc", "name", F.lit("Fragment is never used").alias("message"))
+    return _bad(_of(log, "fragment").join(reached, ["doc", "name"], "left_anti"), "Fragment is never used")
+
+
+def fragment_cycles(log: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Fragments that spread themselves, directly or through others."""
+    edges = _of(log, "spread").join(_of(log, "fragment").select("doc", F.col("name").alias("owner")), ["doc", "owner"], "left_semi").select("doc", F.col("owner").alias("a"), F.col("name").alias("b")).distinct()
+    reach = edges
+    for _ in range(depth.bit_length()):  # each round doubles the length of the ways
+        further = reach.alias("x").join(reach.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.b") == F.col("y.a"))).select("x.doc", "x.a", "y.b").distinct().join(reach, ["doc", "a", "b"], "left_anti")
+        if further.isEmpty():
+            break
+        reach = reach.unionByName(further)
+    return _bad(reach.filter("a = b"), "Cannot spread fragment within itself", "a")
+
+
+def possible_spreads(log: DataFrame, possible: DataFrame) -> DataFrame:
+    """Spreads and conditions whose type shares no object type with the surroundings'; ``possible``: type_name, possible (objects name themselves)."""
+    types = _of(log, "fragment").select("doc", "name", F.col("type").alias("inner"))
+    named = _of(log, "spread").select("doc", "name", "parent_type").join(types, ["doc", "name"])
+    inline = _of(log, "condition").select("doc", F.col("type").alias("name"), "parent_type", F.col("type").alias("inner"))
+    both = named.unionByName(inline).distinct()
+    inner = possible.select(F.col("type_name").alias("inner"), "possible")
+    outer = possible.select(F.col("type_name").alias("parent_type"), "possible")
+    return _bad(both.join(inner.join(outer, "possible").select("inner", "parent_type").distinct(), ["inner", "parent_type"], "left_anti"), "Fragment cannot be spread here as its type can never be this type")
 
 
 def undefined_variables(log: DataFrame) -> DataFrame:
-    return _of(log, "use").join(_of(log, "variable").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti").select("doc", "name", F.lit("Variable is not defined by operation").alias("message")).distinct()
+    return _bad(_of(log, "use").join(_of(log, "variable").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti"), "Variable is not defined by operation")
 
 
 def unused_variables(log: DataFrame) -> DataFrame:
-    return _of(log, "variable").join(_of(log, "use").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti").select("doc", "name", F.lit("Variable is never used in operation").alias("message")).distinct()
+    return _bad(_of(log, "variable").join(_of(log, "use").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti"), "Variable is never used in operation")
+
+
+def variable_positions(log: DataFrame) -> DataFrame:
+    """Uses where a type is expected that the variable's isn't: it may only be stricter about nulls."""
+    variables = _of(log, "variable").select("doc", "owner", "name", F.col("type").alias("given"), F.col("value").alias("default"))
+    given = F.when(F.col("default").isNotNull() & ~F.col("given").endswith("!"), F.concat("given", F.lit("!"))).otherwise(F.col("given"))
+    used = _of(log, "use").filter(F.col("type").isNotNull()).join(variables, ["doc", "owner", "name"])
+    fits = (given == F.col("type")) | (given == F.concat("type", F.lit("!"))) | (F.regexp_replace(given, "!", "") == F.col("type"))
+    return _bad(used.filter(~fits), "Variable of its type used in position expecting another type")
+
+
+def known_directives(log: DataFrame, directives: DataFrame) -> DataFrame:
+    """Directives that aren't known, or not at their place; ``directives``: name, location (a place's kind is in ``type``)."""
+    used = _of(log, "directive")
+    unknown = _bad(used.join(directives.select("name"), "name", "left_anti"), "Unknown directive")
+    placed = used.join(directives.select("name"), "name", "left_semi").join(directives.select("name", F.col("location").alias("type")), ["name", "type"], "left_anti")
+    return unknown.unionByName(_bad(placed, "Directive may not be used here"))
+
+
+def known_arguments(log: DataFrame, arguments: DataFrame) -> DataFrame:
+    """Arguments that their field doesn't have; ``arguments``: field (Type.name), name. An argument's ``parent_type`` is its field."""
+    return _bad(_of(log, "argument").join(arguments.select(F.col("field").alias("parent_type"), "name"), ["parent_type", "name"], "left_anti"), "Unknown argument on field")
+
+
+def required_arguments(log: DataFrame, arguments: DataFrame) -> DataFrame:
+    """Fields without an argument that they need; ``arguments``: field, name, required."""
+    needed = arguments.filter("required").select("field", F.col("name").alias("argument"))
+    fields = _of(log, "field").withColumn("field", F.concat_ws(".", "parent_type", "name")).join(needed, "field")
+    given = _of(log, "argument").select("doc", F.col("owner").alias("path"), F.col("name").alias("argument"))
+    return _bad(fields.join(given, ["doc", "path", "argument"], "left_anti"), F.concat(F.lit("Field is missing argument "), "argument"))
+
+
+def argument_values(log: DataFrame, fits: DataFrame) -> DataFrame:
+    """Arguments with literals that their type can't have; ``fits``: type, value."""
+    literal = _of(log, "argument").filter(F.col("value").isNotNull() & F.col("type").isNotNull())
+    plain = literal.filter(~((F.col("value") == "null") & ~F.col("type").endswith("!"))).withColumn("bare", F.regexp_replace("type", r"[\[\]!]", ""))
+    return _bad(plain.join(fits.select(F.col("type").alias("bare"), "value"), ["bare", "value"], "left_anti"), "Expected another type of value")
 
 
 def conflicting_keys(log: DataFrame) -> DataFrame:
-    """Response keys that stand for different fields of one type within an owner."""
-    by = _of(log, "field").groupBy("doc", "owner", "parent_type", "key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
-    return by.filter("lo <> hi").select("doc", F.col("key").alias("name"), F.lit("Fields conflict because they are different fields").alias("message")).distinct()
+    """Response keys that stand for different fields of one type below one field."""
+    by = _of(log, "field").groupBy("doc", "owner", "parent", "parent_type", "key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
+    return _bad(by.filter("lo <> hi"), "Fields conflict because they are different fields", "key")

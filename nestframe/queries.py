@@ -249,10 +249,10 @@ def subscription_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Checks of an operation log, derived from the events: a document for each user, a field for each event.
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    doc = F.col("user_id").alias("doc")
-    fields = e.select(doc, F.lit("field").alias("kind"), F.col("event_type").alias("name"), F.lit("q").alias("owner"), F.lit("Event").alias("parent_type"), F.concat(F.lit("k"), F.col("event_id") % 3).alias("key"))
-    variables = e.filter("event_id % 4 = 0").select(doc, F.lit("variable").alias("kind"), F.col("event_type").alias("name"), F.lit("q").alias("owner"), F.lit(None).cast("string").alias("parent_type"), F.lit(None).cast("string").alias("key"))
-    uses = variables.withColumn("kind", F.lit("use")).filter("name <> 'click'").unionByName(e.filter("event_id % 5 = 0").select(doc, F.lit("use").alias("kind"), F.col("event_type").alias("name"), F.lit("q").alias("owner"), F.lit(None).cast("string").alias("parent_type"), F.lit(None).cast("string").alias("key")))
+    row = lambda kind, key=None: [F.col("user_id").alias("doc"), F.lit(kind).alias("kind"), F.col("event_type").alias("name"), F.lit("q").alias("owner"), F.lit("Event").alias("parent_type"), (F.lit(None).cast("string") if key is None else key).alias("key"), *[F.lit(None).cast("string").alias(c) for c in ("path", "parent", "type", "value")]]
+    fields = e.select(*row("field", F.concat(F.lit("k"), F.col("event_id") % 3)))
+    variables = e.filter("event_id % 4 = 0").select(*row("variable"))
+    uses = e.filter("event_id % 4 = 0 AND event_type <> 'click' OR event_id % 5 = 0").select(*row("use"))
     return fields.unionByName(variables).unionByName(uses)
 
 
@@ -280,3 +280,95 @@ def check_unused_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("check_conflicting_keys", "SELECT user_id AS doc, 'k' || (event_id % 3) AS name FROM events GROUP BY ALL HAVING min(event_type) <> max(event_type)")
 def check_conflicting_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_checks.conflicting_keys(log(spark, sf_dir)).select("doc", "name")
+
+
+#: One faulty document for each rule, and document 0 without faults: rows of the log by its columns.
+FAULTS = (
+    ("unique_operations", 1, [{"kind": "operation", "name": "a"}, {"kind": "operation", "name": "a"}]),
+    ("lone_anonymous", 2, [{"kind": "operation"}, {"kind": "operation", "name": "a"}]),
+    ("single_field_subscriptions", 3, [{"kind": "operation", "name": "s", "type": "subscription"}, {"kind": "field", "name": "id", "owner": "s", "parent_type": "Customer", "key": "a", "path": "a"}, {"kind": "field", "name": "name", "owner": "s", "parent_type": "Customer", "key": "b", "path": "b"}]),
+    ("known_types", 4, [{"kind": "condition", "type": "Nope", "parent_type": "Party"}]),
+    ("composite_conditions", 5, [{"kind": "condition", "type": "String", "parent_type": "Party"}]),
+    ("input_variables", 6, [{"kind": "variable", "name": "v", "owner": "q", "type": "Customer!"}]),
+    ("scalar_leafs", 7, [{"kind": "field", "name": "name", "owner": "q", "parent_type": "Customer", "path": "name"}, {"kind": "field", "name": "id", "owner": "q", "parent_type": "Nation", "path": "name.id", "parent": "name"}]),
+    ("known_fields", 8, [{"kind": "field", "name": "nope", "owner": "q", "parent_type": "Customer", "path": "nope"}]),
+    ("unique_fragments", 9, [{"kind": "fragment", "name": "f", "type": "Customer"}, {"kind": "fragment", "name": "f", "type": "Customer"}]),
+    ("known_fragments", 10, [{"kind": "spread", "name": "f", "owner": "q", "parent_type": "Customer"}]),
+    ("unused_fragments", 11, [{"kind": "operation", "name": "q"}, {"kind": "fragment", "name": "f", "type": "Customer"}]),
+    ("possible_spreads", 12, [{"kind": "condition", "type": "Order", "parent_type": "Party"}]),
+    ("fragment_cycles", 13, [{"kind": "fragment", "name": "f", "type": "Customer"}, {"kind": "fragment", "name": "g", "type": "Customer"}, {"kind": "spread", "name": "g", "owner": "f", "parent_type": "Customer"}, {"kind": "spread", "name": "f", "owner": "g", "parent_type": "Customer"}]),
+    ("unique_variables", 14, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}, {"kind": "variable", "name": "v", "owner": "q", "type": "Int"}]),
+    ("undefined_variables", 15, [{"kind": "use", "name": "v", "owner": "q", "type": "Int"}]),
+    ("unused_variables", 16, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}]),
+    ("variable_positions", 17, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}, {"kind": "use", "name": "v", "owner": "q", "type": "String"}]),
+    ("known_directives", 18, [{"kind": "directive", "name": "nope", "owner": "x", "type": "FIELD"}]),
+    ("directive_places", 19, [{"kind": "directive", "name": "skip", "owner": "x", "type": "QUERY"}]),
+    ("unique_directives", 20, [{"kind": "directive", "name": "skip", "owner": "x", "type": "FIELD"}, {"kind": "directive", "name": "skip", "owner": "x", "type": "FIELD"}]),
+    ("known_arguments", 21, [{"kind": "argument", "name": "nope", "owner": "orders", "parent_type": "Customer.orders"}]),
+    ("unique_arguments", 22, [{"kind": "argument", "name": "status", "owner": "orders", "parent_type": "Customer.orders"}, {"kind": "argument", "name": "status", "owner": "orders", "parent_type": "Customer.orders"}]),
+    ("required_arguments", 23, [{"kind": "field", "name": "orders", "owner": "q", "parent_type": "Customer", "path": "orders"}]),
+    ("argument_values", 24, [{"kind": "argument", "name": "minTotal", "owner": "orders", "parent_type": "Customer.orders", "type": "Float", "value": "string"}]),
+    ("conflicting_keys", 25, [{"kind": "field", "name": "id", "owner": "q", "parent_type": "Customer", "key": "x", "path": "x"}, {"kind": "field", "name": "name", "owner": "q", "parent_type": "Customer", "key": "x", "path": "x"}]),
+)
+
+
+@add("validate_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{rule}', {doc}::BIGINT)" for rule, doc, _ in FAULTS) + ") t(rule, doc)")
+def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule's own faulty document, found among all of them."""
+    from functools import reduce
+
+    columns = [c.split()[0] for c in log_checks.SCHEMA.split(", ")]
+    rows_ = [tuple({"doc": doc, **row}.get(c) for c in columns) for _, doc, rows_of in FAULTS for row in rows_of]
+    stored = spark.createDataFrame(rows_ + [(0, "operation", "ok", *[None] * 7)], log_checks.SCHEMA)
+    s = schema(spark, sf_dir)
+    types = catalog.types(spark, s, (STATUS, FLAG)).select("name", "kind").unionByName(spark.createDataFrame([("Int", "SCALAR")], "name string, kind string"))
+    fields = catalog.fields(spark, s, include_deprecated=True)
+    leafs = fields.join(types.filter(F.col("kind").isin("SCALAR", "ENUM")).select(F.col("name").alias("of_type"), F.lit(True).alias("l")), "of_type", "left").select("type_name", "name", F.coalesce("l", F.lit(False)).alias("leaf"))
+    objects = types.filter("kind = 'OBJECT'").select(F.col("name").alias("type_name"), F.col("name").alias("possible"))
+    possible = catalog.possible_types(spark, s).unionByName(objects)
+    directives = spark.createDataFrame([(d, p) for d in ("skip", "include") for p in ("FIELD", "FRAGMENT_SPREAD", "INLINE_FRAGMENT")], "name string, location string")
+    arguments = spark.createDataFrame([("Customer.orders", "status", False), ("Customer.orders", "minTotal", True)], "field string, name string, required boolean")
+    fits = spark.createDataFrame([("Int", "int"), ("Float", "int"), ("Float", "float"), ("String", "string"), ("ID", "int"), ("ID", "string"), ("Boolean", "boolean"), ("OrderStatus", "enum")], "type string, value string")
+    of = log_checks
+    found = {
+        "unique_operations": of.unique_names(stored, "operation"), "lone_anonymous": of.lone_anonymous(stored), "single_field_subscriptions": of.single_field_subscriptions(stored), "known_types": of.known_types(stored, types), "composite_conditions": of.composite_conditions(stored, types), "input_variables": of.input_variables(stored, types), "scalar_leafs": of.scalar_leafs(stored, leafs), "known_fields": of.known_fields(stored, fields), "unique_fragments": of.unique_names(stored, "fragment"), "known_fragments": of.known_fragments(stored), "unused_fragments": of.unused_fragments(stored), "possible_spreads": of.possible_spreads(stored, possible), "fragment_cycles": of.fragment_cycles(stored), "unique_variables": of.unique_names(stored, "variable"), "undefined_variables": of.undefined_variables(stored), "unused_variables": of.unused_variables(stored), "variable_positions": of.variable_positions(stored), "known_directives": of.known_directives(stored, directives), "directive_places": of.known_directives(stored, directives), "unique_directives": of.unique_names(stored, "directive"), "known_arguments": of.known_arguments(stored, arguments), "unique_arguments": of.unique_names(stored, "argument"), "required_arguments": of.required_arguments(stored, arguments), "argument_values": of.argument_values(stored, fits), "conflicting_keys": of.conflicting_keys(stored),
+    }
+    own = {rule: doc for rule, doc, _ in FAULTS}
+    return reduce(DataFrame.unionByName, [df.filter(F.col("doc") == own[rule]).select(F.lit(rule).alias("rule"), "doc").distinct() for rule, df in found.items()])
+
+
+@add("introspect_possible_types", "SELECT * FROM (VALUES ('Party', 'Customer'), ('Party', 'Supplier')) t(type_name, possible)")
+def introspect_possible_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.possible_types(spark, schema(spark, sf_dir)).filter("type_name = 'Party'")
+
+
+@add("introspect_enum_values", "SELECT * FROM (VALUES ('OrderStatus', 'FULFILLED'), ('OrderStatus', 'OPEN'), ('OrderStatus', 'PARTIAL'), ('Flag', 'NO'), ('Flag', 'YES')) t(type_name, name)")
+def introspect_enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.enum_values(spark, (STATUS, FLAG)).select("type_name", "name")
+
+
+@add("map_values", "SELECT event_id, json_extract_string(props, '$.' || list_sort(json_keys(props))[1]) AS first_value FROM events")
+def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of a map's first key."""
+    parsed = F.from_json("props", "map<string,string>")
+    return read(spark, sf_dir, "events").select("event_id", F.element_at(parsed, F.get(F.sort_array(F.map_keys(parsed)), F.lit(0))).alias("first_value"))
+
+
+@add("pandas_resolver", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS name_length FROM customer")
+def pandas_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field whose resolver is a function over batches of values."""
+    from nestframe.operators.nest import Field, ObjectType, Schema
+
+    lengths = F.pandas_udf(lambda names: names.str.len(), "long")
+    s = schema(spark, sf_dir)
+    t = s.types["Customer"]
+    longer = ObjectType("Customer", t.table, {**t.fields, "name_length": Field(lambda args: lengths("c_name"))}, t.interfaces, t.key)
+    return Selector(Schema({**s.types, "Customer": longer})).rows("Customer", pick("id"), pick("name_length"))
+
+
+@add("error_list", "SELECT p_partkey, unnest(CASE WHEN p_size <= 10 THEN ['PositiveInt cannot represent ' || (p_size - 10) || ': not positive', 'Cannot return null for non-nullable field Part.size.'] ELSE [] END) AS message FROM part")
+def error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refused value in a non-null field: its own error, and that of the null."""
+    c = C.positive_int(F.col("p_size") - 10, "int")
+    errors = F.concat(nulls.error(c, "size"), nulls.missing(c.value, "Part", "size", "size"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(errors).alias("e")).select("p_partkey", "e.message")

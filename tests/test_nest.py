@@ -96,7 +96,7 @@ def test_suggestions():
 
 def test_log_checks(spark):
     rows = [("d", "operation", "q", None), ("d", "operation", None, None), ("d", "fragment", "f", None), ("d", "fragment", "g", None), ("d", "fragment", "h", None), ("d", "spread", "f", "q"), ("d", "spread", "g", "f"), ("d", "spread", "x", "q")]
-    log = spark.createDataFrame([(*r, None, None) for r in rows], "doc string, kind string, name string, owner string, parent_type string, key string")
+    log = spark.createDataFrame([(1, *r[1:], *[None] * 6) for r in rows], log_checks.SCHEMA)
     assert [r["name"] for r in log_checks.unused_fragments(log).collect()] == ["h"]
     assert [r["name"] for r in log_checks.known_fragments(log).collect()] == ["x"]
     assert log_checks.lone_anonymous(log).count() == 1
