@@ -1,6 +1,6 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from nestframe.llm import ann, jaccard, langid, licenses, mixing, pii, quality, spm, topk, warc
+from nestframe.llm import ann, jaccard, langid, licenses, mixing, pii, quality, spm, sql, topk, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,5 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_exact_topk": sql.OP3,
+    "op4_warc": sql.OP4,
+    "op8_jaccard_join": sql.OP8,
     "op10_mixing": mixing.OP10_SQL,
 }
