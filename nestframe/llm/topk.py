@@ -22,6 +22,8 @@ from nestframe.llm.vectors import BLOCK, QUERY_BLOCK, best, celled, dealt, packe
 #: Segments by resolution; cells are the signs of the coarse means.
 COARSE, FINE = 4, 16
 CELL_SEGMENTS = 6
+#: Candidate blocks' summaries are dealt over so many keys when query blocks' summaries meet them.
+SALTS = 64
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -149,10 +151,11 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, block: int = BLOCK, query
     blocks = _summary(packed(dealt(asked, "vec_id", query_block)[0]), "q")
     blocks = cut(blocks.select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "q_low", "q_high", "q_dev"))
     least = cut(_least(blocks, candidates, k))
-    # Block summaries (some hundred bytes for each block of thousands of rows) meet by dimension; vectors only where the bound allows.
-    heads = blocks.select("dim", "q_cell", "q_part", "q_low", "q_high", "q_dev").join(_floors(least), ["dim", "q_cell", "q_part"])
+    # Block summaries (some hundred bytes for each block of thousands of rows) meet, dealt over salts; vectors only where the bound allows.
+    heads = blocks.select("dim", "q_cell", "q_part", "q_low", "q_high", "q_dev").join(_floors(least), ["dim", "q_cell", "q_part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt_out = candidates.select("dim", "cell", "part", "c_low", "c_high", "c_dev").withColumn("salt", F.pmod(F.xxhash64("cell", "part"), F.lit(SALTS)).cast("int"))
     bound = F.expr("aggregate(transform(sequence(1, greatest(size(q_low), 1)), s -> coalesce(greatest(try_element_at(q_low, s) * try_element_at(c_low, s), try_element_at(q_low, s) * try_element_at(c_high, s), try_element_at(q_high, s) * try_element_at(c_low, s), try_element_at(q_high, s) * try_element_at(c_high, s)) + try_element_at(q_dev, s) * try_element_at(c_dev, s), 0D)), 0D, (a, b) -> a + b)")
-    meet = heads.join(candidates.select("dim", "cell", "part", "c_low", "c_high", "c_dev"), "dim").filter(bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("floor")).select("dim", "q_cell", "q_part", "cell", "part")
+    meet = heads.join(dealt_out, ["dim", "salt"]).filter(bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("floor")).select("dim", "q_cell", "q_part", "cell", "part")
     full = blocks.select("dim", "q_cell", "q_part", "q_ids", "q_matrix").join(least, ["dim", "q_cell", "q_part"])
     pairs = meet.join(candidates.select("dim", "cell", "part", "ids", "matrix"), ["dim", "cell", "part"]).join(full, ["dim", "q_cell", "q_part"])
     return best(_scan(pairs.repartition("dim", "q_cell", "q_part", "cell", "part"), k), k)
