@@ -22,6 +22,8 @@ from nestframe.llm.vectors import BLOCK, QUERY_BLOCK, best, celled, dealt, packe
 
 #: Bounds of what the tree is fitted on and calibrated with.
 SAMPLE, CALIBRATION = 20_000, 128
+#: Components of all sampled vectors together.
+COMPONENTS = 4_000_000
 BRANCHES, LEAF, ROUNDS = 8, 120, 12
 RECALL = 0.97
 
@@ -148,7 +150,9 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def grow(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Tree]:
-    """Trees on up to ``sample`` vectors, the first by a hash of vec_id, of which equal ones count once."""
+    """Trees on up to ``sample`` vectors (fewer if they are long), the first by a hash of vec_id, of which equal ones count once."""
+    longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    sample = max(1, min(sample, COMPONENTS // longest))
     drawn = vectors.orderBy(F.xxhash64(F.lit("tree"), "vec_id"), "embedding").limit(sample).toArrow()
     by: dict[int, list] = {}
     for v in drawn["embedding"].to_pylist():
