@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.llm import jaccard, mixing, pii, quality, spm
-from nestframe.llm.common import fold, new_path, read
+from nestframe.llm.common import cut, fold, new_path, read, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,7 +29,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words are no duplicates and stay, as do rows without a doc_id."""
     linked = jaccard.link(docs, k=5, percent=80)
-    gone = linked.filter("component_id < doc_id").select("doc_id").distinct()
+    gone = cut(linked.filter("component_id < doc_id").select("doc_id").distinct())
+    release(spark)
     kept = docs.join(gone, "doc_id", "left_anti")
     # Rows that repeat a doc_id are one group.
     with_id = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

@@ -31,7 +31,7 @@ from nestframe.llm.shingles import BASE, mix64, shingle_sets
 #: Coordinates of a point, and of its finer counts; bits of the node filter (of fixed size).
 GROUPS, FINE, BITS = 32, 256, 1 << 26
 #: Sizes are dealt into intervals that grow by this factor; a set may have this share more parts than it needs.
-GROWTH, SPARE = 1.5, 0.15
+GROWTH, SPARE = 1.5, 0.06
 #: Points in an R-tree leaf; nodes of a key that meet in one task, beyond which its blocks meet pairwise.
 LEAF, BLOCK = 48, 20_000
 
@@ -47,14 +47,16 @@ def _node(s: np.ndarray) -> int:
 
 
 def intervals(percent: int) -> list[tuple[int, int, int, int]]:
-    """(low, high, d, parts) of size intervals: sets that link, the larger in the interval, differ in d shingles at most.
+    """(low, high, parts, spare) of size intervals: sets that link, the larger in the interval, differ in
+    parts - spare - 1 shingles at most.
 
     Intervals grow by more than 100 / percent, so the smaller set is in the same interval or the one before."""
     growth, low, out = max(GROWTH, 105 / percent), 1, []
     while low < 1 << 40:
         high = max(low, int(low * growth))
         d = 2 * high * (100 - percent) // (100 + percent)
-        out.append((low, high, d, int((d + 1) * (1 + SPARE)) + 1))
+        spare = int((d + 1) * SPARE) + 1
+        out.append((low, high, d + 1 + spare if d else 0, spare))
         low = high + 1
     return out
 
@@ -62,19 +64,22 @@ def intervals(percent: int) -> list[tuple[int, int, int, int]]:
 def part_keys(s: np.ndarray, percent: int, known: list[tuple[int, int, int, int]]) -> np.ndarray:
     """A set's keys, for its own interval and, where it may link to sets of the next, for that too.
 
-    Equal parts may be equal in being empty. A set with fewer empty parts than are to spare shares a part that
-    isn't with every set it links to; only sets with more have their empty parts as keys."""
+    A set of n shingles differs from any that it links to in n (100 - percent) / percent at most, so the first parts
+    of that number, one and the spare ones are enough; the larger set has more of them. Equal parts may be equal in
+    being empty. A set with fewer empty ones than are to spare shares a part that isn't with every set it
+    links to; only sets with more have their empty parts as keys."""
     n, hashed, out = len(s), mix64(s + BASE), []
     own = next(i for i, x in enumerate(known) if n <= x[1])
     for i in (own, own + 1) if 100 * n >= percent * known[own + 1][0] else (own,):
-        _, _, d, parts = known[i]
-        if d:
+        _, _, parts, spare = known[i]
+        used = min(parts, n * (100 - percent) // percent + 1 + spare) if parts else 0
+        if used > spare + 1:
             part = (hashed % np.uint64(parts)).astype(np.int64)
             content = np.zeros(parts, np.uint64)
             np.add.at(content, part, hashed)
-            full = np.bincount(part, minlength=parts) > 0
-            keys = mix64(mix64(content) + np.arange(parts, dtype=np.uint64) * BASE + np.uint64(i))
-            out.append(keys if parts - full.sum() > parts - d - 1 else keys[full])
+            full = np.bincount(part, minlength=parts)[:used] > 0
+            keys = mix64(mix64(content[:used]) + np.arange(used, dtype=np.uint64) * BASE + np.uint64(i))
+            out.append(keys if used - full.sum() > spare else keys[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -84,22 +89,30 @@ def counts(s: np.ndarray) -> bytes:
     return c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def points(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node, point (counts by fine group), keys of every row; an empty set's node is null."""
-    known = intervals(percent)
+def points(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n (set size), node, point (counts by fine group) of every row; an empty set's node is null."""
 
     def run(batches):
         for part in _rows(batches):
-            sizes, nodes, at, keys = [], [], [], []
-            for s in shingle_sets(part.column("text").to_pylist(), k):
-                sizes.append(len(s))
-                nodes.append(_node(s) if len(s) else None)
-                at.append(counts(s))
-                keys.append(part_keys(s, percent, known).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(at, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "point", "keys"])
+            sets = list(shingle_sets(part.column("text").to_pylist(), k))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([counts(s) for s in sets], pa.binary())], names=["doc_id", "n", "node", "point"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, point binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, point binary")
+
+
+def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, key for all keys of every row's set."""
+    known = intervals(percent)
+
+    def run(batches):
+        for part in _rows(batches):
+            sets = [s for s in shingle_sets(part.column("text").to_pylist(), k) if len(s)]
+            keys = [part_keys(s, percent, known).view(np.int64) for s in sets]
+            node = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "key"])
+
+    return docs.select("text").mapInArrow(run, "node long, key long")
 
 
 def leaves(x: np.ndarray) -> list[np.ndarray]:
@@ -280,6 +293,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def members(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, node, nodes (how many nodes the key has) of keys that more than one node has."""
+    rows = keyed(docs, k, percent)
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    member = cut(rows.join(shared, "key").distinct())
+    # Near copies share most of their keys: of keys with the same nodes (by two hashes) one is kept.
+    alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (0, 1)))
+    kept = alike.groupBy("nodes", "h0", "h1").agg(F.min("key").alias("key")).select("key", "nodes")
+    return cut(member.join(kept, "key"))
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -291,14 +315,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     columns are not looked at. Shingles and sets are told apart by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
-    made = cut(points(docs, k, percent))
-    rows = made.filter("n > 0").select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    member = cut(rows.join(shared, "key").distinct())
-    # Near copies share most of their keys: of keys with the same nodes (by two hashes) one is kept.
-    alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (0, 1)))
-    kept = alike.groupBy("nodes", "h0", "h1").agg(F.min("key").alias("key")).select("key", "nodes")
-    member = cut(member.join(kept, "key"))
+    made = cut(points(docs, k))
+    member = members(docs, k, percent)
     seen = member.select("node").distinct()
     point = made.join(seen, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     full = member.join(point, "node")
