@@ -44,7 +44,10 @@ class Field:
 
 @dataclass(frozen=True)
 class Edge:
-    """A relationship: the child whose ``theirs`` equals our ``ours``; ``keys`` says that ours is an array of keys, in whose order the children come."""
+    """A relationship: the child whose ``theirs`` equals our ``ours`` (unique in the child, unless ``many``).
+
+    ``keys`` says that ours is an array of keys, in whose order the children come, null where a key has none.
+    ``order`` are the child's columns by which a list is sorted, ties by the items themselves."""
 
     target: str
     ours: str

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.functions import coerce as C
+from nestframe.functions import text
 from nestframe.operators import nulls
 from nestframe.operators.batch import Lookup
 from nestframe.operators.nest import Pick, Selector, Spread, Variable, pick, spread
@@ -372,3 +373,16 @@ def error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.positive_int(F.col("p_size") - 10, "int")
     errors = F.concat(nulls.error(c, "size"), nulls.missing(c.value, "Part", "size", "size"))
     return read(spark, sf_dir, "part").select("p_partkey", F.explode(errors).alias("e")).select("p_partkey", "e.message")
+
+
+@add("html_safe_json", "SELECT page_id, replace(replace(replace(url, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS url, length(replace(html, '<', '\\u003c')) - length(html) AS grown FROM pages")
+def html_safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as JSON text within HTML, and by how much escaping the opening brackets of a page lengthens it."""
+    grown = F.length(F.replace(F.col("html"), F.lit("<"), F.lit("\\u003c"))) - F.length("html")
+    return read(spark, sf_dir, "pages").select("page_id", text.html_safe(F.col("url")).alias("url"), grown.cast("long").alias("grown"))
+
+
+@add("name_cases", "SELECT p_partkey, list_aggregate(list_transform(string_split(replace(p_name, ' ', '_'), '_'), lambda x: upper(x[1]) || x[2:]), 'string_agg', '') AS camel, replace(p_name, ' ', '_') AS snake FROM part")
+def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    camel = text.camel_case(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))
+    return read(spark, sf_dir, "part").select("p_partkey", camel.alias("camel"), text.snake_case(camel).alias("snake"))

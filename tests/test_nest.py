@@ -101,3 +101,13 @@ def test_log_checks(spark):
     assert [r["name"] for r in log_checks.known_fragments(log).collect()] == ["x"]
     assert log_checks.lone_anonymous(log).count() == 1
     assert log_checks.unique_names(log, "operation").count() == 0
+
+
+def test_text(spark):
+    from nestframe.functions import text
+
+    row = lambda c, v: spark.createDataFrame([(v,)], "v string" if isinstance(v, str) else "v double").select(c(F.col("v"))).first()[0]
+    assert row(text.html_safe, "<a>&\u2028 b") == "\\u003ca\\u003e\\u0026\\u2028 b"
+    assert row(text.camel_case, "foo_bar") == "FooBar" and row(text.snake_case, "FooBARBaz") == "foo_bar_baz"
+    assert [row(text.number, v) for v in (1.0, 0.5, 1e-7, 1e21, 0.0001, -2.25)] == ["1", "0.5", "1e-7", "1e21", "0.0001", "-2.25"]
+    assert row(text.number, float("inf")) is None
