@@ -19,5 +19,6 @@ ORACLE_SQL = {
     "op3_exact_topk": sql.OP3,
     "op4_warc": sql.OP4,
     "op8_jaccard_join": sql.OP8,
+    "op9_license_scan": sql.op9(),
     "op10_mixing": mixing.OP10_SQL,
 }

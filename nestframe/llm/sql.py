@@ -31,3 +31,27 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reached)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
+
+
+def op9() -> str:
+    """The licence scan: templates as values, lines and paragraphs with their places, bigrams by list functions."""
+    from nestframe.llm.licenses import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES)
+    words = r"list_transform(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda w: CASE WHEN starts_with(w, 'licence') THEN 'license' || w[8:] ELSE w END)"
+    space = r"[\s\x0B\p{Z}]"
+    return rf"""
+WITH t AS (SELECT license, {words.format("body")} AS w FROM (VALUES {values}) v(license, body)),
+tb AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM t),
+l0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l1 AS (SELECT doc_id, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM l0),
+l2 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM l1),
+l3 AS (SELECT *, length(regexp_extract(line, '^{space}*')) AS lead, length(regexp_replace(regexp_replace(line, '^{space}+', ''), '{space}+$', '')) AS size FROM l2),
+l4 AS (SELECT doc_id, text, i, size, pos + lead AS a, pos + lead + size AS z, sum((size = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l3),
+units AS (SELECT doc_id, text, a, z FROM l4 WHERE size > 0 UNION SELECT doc_id, text, min(a), max(z) FROM l4 WHERE size > 0 GROUP BY doc_id, text, island),
+w AS (SELECT doc_id, a, z, {words.format("substr(text, a + 1, z - a)")} AS w FROM units),
+b AS (SELECT doc_id, a, z, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
+m AS (SELECT doc_id, a, z, license, 2.0::DOUBLE * len(list_intersect(b.b, tb.b)) / (len(b.b) + len(tb.b)) AS dice FROM b JOIN tb ON len(b.b) BETWEEN len(tb.b) * 0.8 AND len(tb.b) * 1.25),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, z ORDER BY dice DESC, license) AS place FROM m WHERE dice >= 0.9)
+SELECT doc_id, a::BIGINT AS "start", z::BIGINT AS "end", license, dice FROM r WHERE place = 1
+"""
