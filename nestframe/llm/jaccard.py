@@ -30,6 +30,10 @@ from nestframe.llm.shingles import BASE, mix64, shingle_sets
 
 #: Coordinates of a point, and of its finer counts; bits of the node filter (of fixed size).
 GROUPS, FINE, BITS = 32, 256, 1 << 26
+#: Groups of the counts that bound a pair once more before its sets meet.
+FINEST = 1024
+#: A task remembers so many nodes, so as not to pass on their copies.
+COPIES = 1 << 20
 #: Sizes are dealt into intervals that grow by this factor; a set may have this share more parts than it needs.
 GROWTH, SPARE = 1.5, 0.06
 #: Points in an R-tree leaf; nodes of a key that meet in one task, beyond which its blocks meet pairwise.
@@ -83,12 +87,16 @@ def part_keys(s: np.ndarray, percent: int, known: list[tuple[int, int, int, int]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def counts(s: np.ndarray) -> bytes:
-    """Shingles by fine group, a byte each, or four where a byte is too small."""
-    c = np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+def counts(s: np.ndarray, groups: int = FINE) -> bytes:
+    """Shingles by group, a byte each, or four where a byte is too small."""
+    c = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
     return c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
 
 
+def counted(raw: bytes, groups: int = FINE) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == groups else np.uint32)
+
+
 def points(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), node, point (counts by fine group) of every row; an empty set's node is null."""
 
@@ -106,10 +114,13 @@ def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     known = intervals(percent)
 
     def run(batches):
+        seen: set[int] = set()
         for part in _rows(batches):
-            sets = [s for s in shingle_sets(part.column("text").to_pylist(), k) if len(s)]
-            keys = [part_keys(s, percent, known).view(np.int64) for s in sets]
-            node = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(x) for x in keys])
+            sets = {_node(s): s for s in shingle_sets(part.column("text").to_pylist(), k) if len(s)}
+            new = [x for x in sets if x not in seen]
+            seen = (seen if len(seen) < COPIES else set()).union(new)
+            keys = [part_keys(sets[x], percent, known).view(np.int64) for x in new]
+            node = np.repeat(np.array(new, np.int64), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "key"])
 
     return docs.select("text").mapInArrow(run, "node long, key long")
@@ -209,8 +220,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(parts)
     out = {c: table[c].to_numpy() for c in table.column_names if c != "point"}
-    kinds = {FINE: np.uint8, 4 * FINE: np.uint32}
-    out["x"] = np.array([np.frombuffer(p, kinds[len(p)]) for p in table["point"].to_pylist()]).astype(np.int32)
+    out["x"] = np.array([counted(p) for p in table["point"].to_pylist()]).astype(np.int32)
     return out
 
 
@@ -264,21 +274,43 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         known = sent.value
+        seen: set[int] = set()
         for part in _rows(batches):
             found: dict[int, bytes] = {}
             for s in shingle_sets(part.column("text").to_pylist(), k):
                 if len(s):
                     node = _node(s)
                     h = node & (BITS - 1)
-                    if int(known[h >> 6]) >> (h & 63) & 1:
+                    if node not in seen and int(known[h >> 6]) >> (h & 63) & 1:
                         found[node] = s.tobytes()
+            seen = (seen if len(seen) < COPIES else set()).union(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+
+
+def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the finest counts allow; these are much smaller than the sets."""
+
+    def count(batches):
+        for part in _rows(batches):
+            sets_ = [np.frombuffer(s, np.uint64) for s in part.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets_], pa.int64()), pa.array([counts(s, FINEST) for s in sets_], pa.binary())], names=["node", "n", "c"])
+
+    def run(batches):
+        for part in _rows(batches):
+            keep = [int(np.minimum(counted(p, FINEST), counted(q, FINEST)).sum(dtype=np.int64)) * (100 + percent) >= percent * (m + n) for p, q, m, n in zip(*(part.column(c).to_pylist() for c in ("ca", "cb", "na", "nb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    finest = sets.mapInArrow(count, "node long, n long, c binary")
+    both = pairs.join(finest.toDF("a", "na", "ca"), "a").join(finest.toDF("b", "nb", "cb"), "b")
+    return both.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose sets link."""
+    sets = cut(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k))
+    left = cut(close(pairs, sets, percent))
 
     def run(batches):
         for part in _rows(batches, 256):
@@ -289,8 +321,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = left.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
 def members(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -321,16 +353,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     point = made.join(seen, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     full = member.join(point, "node")
     first = cut(candidates(full, percent, False))
-    sets = cut(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k))
-    edges = cut(verified(first, sets, percent))
+    edges = verified(docs, first, k, percent)
     known = components(edges)
     # Keys of two nodes are done; the others' pairs across components are still to be verified.
     labelled = full.filter("nodes > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     second = cut(candidates(labelled.join(open_keys, "key", "left_semi"), percent, True).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = sets_of(docs, second.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k)
-        added = cut(verified(second, cut(more), percent))
+        added = verified(docs, second, k, percent)
         if not added.isEmpty():
             known = components(edges.unionByName(added))
     # A component's smallest id, by way of its nodes: copies are grouped before components are.
