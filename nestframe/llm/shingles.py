@@ -8,7 +8,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are hashed together up to about so many bytes; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -12,17 +12,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nestframe.llm.common import read
 
 MARK = "▁"
-#: Words and pairs remembered by a worker; beyond that the memory is emptied, which only costs time.
-MEMORY = 400_000
+#: Words and pairs that a task remembers, and how many of them, the first and so the frequent ones, it keeps
+#: when these are full and for the next task. Forgetting only costs time.
+MEMORY, KEPT = 300_000, 60_000
 
 
 class Encoder:
@@ -43,19 +45,18 @@ class Encoder:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if sp.unk_id() in self.byte:
             raise ValueError("only models with byte fallback are handled")
-        joined = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
-        self.words = re.compile(r"(?s).+" if joined else f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.plain = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
+        self.words = re.compile(f"(?s){MARK}+[^{MARK}]*" if self.plain else r"(?s).+")
         self.automaton = ahocorasick.Automaton()
-        self.own, self.states = {}, {}
+        self.own = {}
         for i, p in self.piece.items():
-            states = self.merges(p)
-            if states[-1][1] == p:  # others never stand in an encoding
+            if self.merges(p)[-1][1] == p:  # others never stand in an encoding
                 self.automaton.add_word(p, (len(p), i))
                 self.own[p] = (i,)
-                self.states[i] = states
+        self.states: dict[int, list[tuple[float, str, str]]] = {}
         self.automaton.make_automaton()
-        self.stays: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.stays: dict[int, bool] = {}
+        self.seen: dict[str, str] = {}
 
     def merges(self, text: str) -> list[tuple[float, str, str]]:
         """Plain merging of a short text, best score first, leftmost among equals: for each state its
@@ -75,11 +76,12 @@ class Encoder:
 
         Up to there each side merges as it does alone, the better-scored side first, so it is enough to
         walk the two sides' states and compare the parts at the border."""
-        known = self.stays.get((left, right))
+        known = self.stays.get(left << 32 | right)
         if known is None:
             if len(self.stays) >= MEMORY:
                 self.stays.clear()
-            a, b, i, j, score = self.states[left], self.states[right], 0, 0, self.score
+            a, b = (self.states.get(x) or self.states.setdefault(x, self.merges(self.piece[x])) for x in (left, right))
+            i, j, score = 0, 0, self.score
             known = True
             while True:
                 (next_a, _, last), (next_b, first, _) = a[i], b[j]
@@ -93,7 +95,7 @@ class Encoder:
                     i += 1
                 else:
                     j += 1
-            self.stays[left, right] = known
+            self.stays[left << 32 | right] = known
         return known
 
     def run(self, text: str) -> list[int]:
@@ -106,7 +108,7 @@ class Encoder:
                 if start == 0:
                     last[end + 1] = token
                 elif (before := last[start]) is not None:
-                    ok = stays.get((before[1], token[1]))
+                    ok = stays.get(before[1] << 32 | token[1])
                     if ok or ok is None and self.compatible(before[1], token[1]):
                         last[end + 1] = token
         ids, at = [], len(text)
@@ -116,32 +118,47 @@ class Encoder:
             at -= size
         return ids[::-1]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and the same as text."""
+    def word(self, key: str) -> str:
+        """Ids, joined by commas, of the word that begins with a space mark and goes on with ``key``."""
+        word = MARK + key
         ids = self.own.get(word)
         if ids is None:
             if self.chars.issuperset(word):
-                ids = tuple(self.run(word))
+                ids = self.run(word)
             else:
-                found: list[int] = []
+                ids = []
                 start = 0
                 for k, c in enumerate(word):
                     if c not in self.chars:
-                        found += self.run(word[start:k]) if k > start else []
-                        found += [self.byte[b] for b in c.encode()]
+                        ids += self.run(word[start:k]) if k > start else []
+                        ids += [self.byte[b] for b in c.encode()]
                         start = k + 1
-                ids = (*found, *(self.run(word[start:]) if start < len(word) else ()))
+                ids += self.run(word[start:]) if start < len(word) else []
         if len(self.seen) >= MEMORY:
-            self.seen.clear()
-        out = self.seen[word] = (ids, ",".join(map(str, ids)))
+            self.trim()
+        out = self.seen[key] = ",".join(map(str, ids))
         return out
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        seen, word = self.seen, self.word
-        return [seen.get(w) or word(w) for w in self.words.findall(MARK + text.replace(" ", MARK))] if text else []
+    def trim(self) -> None:
+        self.seen = dict(islice(self.seen.items(), KEPT))
+
+    def joined(self, text: str) -> str:
+        """All ids of a text, joined by commas."""
+        if not text:
+            return ""
+        if self.plain and MARK not in text and "  " not in text and text[0] != " " != text[-1]:
+            keys = text.split(" ")
+        else:
+            keys = [w[1:] for w in self.words.findall(MARK + text.replace(" ", MARK))]
+        word = self.word
+        return ",".join([self.seen.get(k) or word(k) for k in keys])
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.parts(text)))
+        return numbers(self.joined(text))
+
+
+def numbers(joined: str) -> list[int]:
+    return np.fromstring(joined, np.int32, sep=",").tolist() if joined else []
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -181,6 +198,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         own = encoder(model.value)
         for ids, rows in texts(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array([own.encode(t or "") for t in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        own.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -208,12 +226,13 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
         for doc_ids, rows in texts(batches):
             sizes, of_ids, of_text = [], [], []
             for text in rows:
-                parts = own.parts(text or "")
-                ids = list(chain.from_iterable([p[0] for p in parts]))
+                joined = own.joined(text or "")
+                ids = numbers(joined)
                 sizes.append(len(ids))
-                of_ids.append(sha(",".join([p[1] for p in parts])))
+                of_ids.append(sha(joined))
                 of_text.append(sha(own.library.decode(ids) if ids else ""))
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -232,6 +251,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = [own.encode(t) for t in rows]
                 whole = [own.library.decode(x) == t if x else t == "" for x, t in zip(ids, rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(whole)], names=[*kept, "n_tokens", "ids", "whole"])
+        own.trim()
 
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, whole boolean")
