@@ -43,11 +43,14 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document comes once for each of its epochs, and once more if the rest of its source's budget reaches it."""
+    """The mix: a document comes once for each of its epochs, and once more if the rest of its source's budget reaches it.
+
+    Documents without words are no part of a mix."""
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     taken = mixing.mix(sized, size="words").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("times")).filter("times > 0")
+    taken = taken.withColumnRenamed("doc_id", "mixed_id")
     times = F.sequence(F.lit(1), F.col("times").cast("int"))
-    return docs.join(taken, "doc_id").withColumn("time", F.explode(times)).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("time", F.explode(times)).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
