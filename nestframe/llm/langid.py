@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,21 @@ from nestframe.llm.shingles import BASE, mix64
 ORDER = 5
 #: Bounds of what is learned from: documents a language, and characters of a text.
 DOCS_A_LANGUAGE, CHARS = 400, 20_000
-#: Words that a worker remembers; beyond that it starts anew, which only costs time.
-MEMORY = 250_000
+#: Words that a task remembers, and how many of them, the first and so the frequent ones, it keeps when these
+#: are full. Forgetting only costs time.
+MEMORY, KEPT_WORDS = 400_000, 60_000
 #: The share of calibration texts whose cross-entropy a known language's text may not pass.
 KEPT = 0.995
 
 
 def letters(word: str) -> list[str]:
-    return "".join([c if c.isalpha() else " " for c in word.lower()]).split()
+    """Runs of letters, in lower case."""
+    low = word.lower()
+    if low.isalpha():
+        return [low]
+    if low[:-1].isalpha() and not low[-1].isalpha():
+        return [low[:-1]]
+    return "".join([c if c.isalpha() else " " for c in low]).split()
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -70,10 +78,13 @@ class Model:
         p = np.full((len(word), len(self.languages)), self.floor)
         context = np.full(len(word), -1)  # the entry of the (n-1)-gram that ends one before
         for n in range(1, ORDER + 1):
-            at = np.minimum(np.searchsorted(self.keys, hashes[n - 1]), len(self.keys) - 1)
-            at = np.where((self.keys[at] == hashes[n - 1]) & reach[n - 1], at, -1)
+            # An n-gram is only there if the shorter one that ends with it is.
+            look = np.flatnonzero(reach[n - 1] if n == 1 else reach[n - 1] & (at >= 0))
+            place = np.minimum(np.searchsorted(self.keys, hashes[n - 1][look]), len(self.keys) - 1)
+            at = np.full(len(word), -1)
+            at[look] = np.where(self.keys[place] == hashes[n - 1][look], place, -1)
             p *= self.gamma[context] if n > 1 else self.gamma[-2]
-            p += np.where(reach[n - 1][:, None], self.alpha[at], 0)
+            p += self.alpha[at]
             context = np.concatenate(([-1], at[:-1])) if len(at) else at
             context = np.where(reach[n] if n < ORDER else False, context, -1)
         loss = np.where(first[:, None], 0, -np.log(p))
@@ -147,21 +158,24 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.forget()
-
-    def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((MEMORY + 1, len(self.model.languages) + 1))
+        self.table = np.zeros((MEMORY + 1, len(model.languages) + 1))
+
+    def forget(self, kept: int = 0) -> None:
+        self.row = dict(islice(self.row.items(), kept))
+        table = np.zeros((MEMORY + 1, len(self.model.languages) + 1))
+        table[: len(self.row)] = self.table[: len(self.row)]
+        self.table = table
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """For each text its loss in each language, and at the end its predicted characters (0: no letter)."""
         counted = [Counter(t.split()) if t else Counter() for t in texts]
-        new = list(dict.fromkeys(w for c in counted for w in c if w not in self.row))
+        new = list(dict.fromkeys([w for c in counted for w in c if w not in self.row]))
         if len(self.row) + len(new) > MEMORY:
-            self.forget()
-            if len(set().union(*counted)) > MEMORY:
+            self.forget(KEPT_WORDS)
+            new = list(dict.fromkeys([w for c in counted for w in c if w not in self.row]))
+            if len(self.row) + len(new) > MEMORY:
                 return np.concatenate([self(texts[: len(texts) // 2]), self(texts[len(texts) // 2 :])]) if len(texts) > 1 else self._long(counted[0])
-            new = list(dict.fromkeys(w for c in counted for w in c))
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             rows = np.arange(len(self.row), len(self.row) + len(part))
