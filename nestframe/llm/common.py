@@ -54,3 +54,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def draw(df: DataFrame, seed: str, key: str, rows: int, total: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Up to ``rows`` rows, the first by a hash of ``key``: the same whenever they are drawn.
+
+    Rows are first kept or not by their hash alone, so that all tasks together pass on about twice as
+    many, whatever the input's size. ``total`` is the number of rows, counted where it isn't given."""
+    total = df.count() if total is None else total
+    h = F.xxhash64(F.lit(seed), key)
+    low = F.pmod(h, F.lit(1 << 40))
+    # Twice the rows and a margin, so that too few are drawn hardly ever; then they are fewer.
+    share = 1.0 if total <= 2 * rows + 100 else (2 * rows + 100) / total
+    return df.filter(low <= int(share * (1 << 40))).orderBy(low, *ties).limit(rows)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import read
+from nestframe.llm.common import draw, read
 
 #: Kinds in the order in which spans of one start are listed; the last has no pattern of its own.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -268,9 +268,8 @@ def fit(texts: list[str], epochs: int = 12, rate: float = 0.5) -> np.ndarray:
 
 def learn(docs: DataFrame, rows: int = TEXTS) -> np.ndarray:
     """Weights of up to ``rows`` texts that hold a digit or @ and are not longer than CHARS, the first by a hash of doc_id."""
-    h = F.xxhash64(F.lit("pii"), "doc_id")
-    drawn = docs.filter(F.length("text") <= CHARS).filter(F.col("text").rlike("[0-9@]")).select("text", h.alias("h")).orderBy("h", "text").limit(rows)
-    return fit([r["text"] for r in drawn.collect()])
+    marked = docs.filter(F.length("text") <= CHARS).filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    return fit([r["text"] for r in draw(marked, "pii", "doc_id", rows, ties=("text",)).collect()])
 
 
 def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
