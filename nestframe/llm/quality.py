@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import fold, read
+from nestframe.llm.common import draw, fold, read
 
 #: Bounds of what is learned from: labelled rows a class, and characters of a text.
 ROWS_A_CLASS, CHARS = 2_000, 20_000
@@ -77,13 +77,6 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[:DICTIONARY_BYTES] or b"\0" * 8
 
 
-def sample(labelled: DataFrame, rows: int = ROWS_A_CLASS) -> list:
-    """Up to ``rows`` labelled rows (doc_id, text, quality) a class, the first by a hash of doc_id: what the driver learns from."""
-    usable = labelled.filter(F.col("quality").isin(0, 1) & (F.length("text") <= CHARS)).select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64(F.lit("quality"), "doc_id").alias("h"))
-    drawn = [usable.filter(F.col("quality") == q).orderBy("h", "text").limit(rows) for q in (0, 1)]
-    return [r for part in drawn for r in part.collect()]
-
-
 def fit(rows: list, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of sampled rows (text, quality); ``shares`` are the classes' (0, 1) shares of all labelled rows."""
     of = [[r["text"] for r in rows if r["quality"] == q] for q in (0, 1)]
@@ -112,13 +105,15 @@ def fit(rows: list, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS_A_CLASS) -> Model:
     """A model of docs (doc_id, text) and labels (doc_id, quality): classes are counted over all labels, texts are drawn up to the bound.
 
-    Labels are drawn before their texts are looked up, some more than needed as texts may be missing or long."""
+    Labels are drawn before their texts are looked up, twice as many as are used, as texts may be missing or long."""
     marked = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     counted = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
-    h = F.xxhash64(F.lit("quality"), "doc_id")
-    drawn = [marked.filter(F.col("quality") == q).orderBy(h).limit(2 * rows) for q in (0, 1)]
+    drawn = [draw(marked.filter(F.col("quality") == q), "quality", "doc_id", 2 * rows, counted.get(q, 0)) for q in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # 4 * rows labels at most
-    return fit(sample(docs.select("doc_id", "text").join(chosen, "doc_id"), rows), (counted.get(0, 0), counted.get(1, 0)))
+    usable = docs.select("doc_id", "text").filter(F.length("text") <= CHARS).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    usable = usable.orderBy(F.xxhash64(F.lit("quality"), "doc_id")).collect()
+    few = [[r for r in usable if r["quality"] == q][:rows] for q in (0, 1)]
+    return fit(few[0] + few[1], (counted.get(0, 0), counted.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
