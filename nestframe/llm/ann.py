@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import cut, read
+from nestframe.llm.common import cut, draw, read
 from nestframe.llm.vectors import BLOCK, QUERY_BLOCK, best, celled, dealt, packed, unpack, usable
 
 #: Bounds of what the tree is fitted on and calibrated with.
@@ -153,7 +153,7 @@ def grow(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Tree]:
     """Trees on up to ``sample`` vectors (fewer if they are long), the first by a hash of vec_id, of which equal ones count once."""
     longest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
     sample = max(1, min(sample, COMPONENTS // longest))
-    drawn = vectors.orderBy(F.xxhash64(F.lit("tree"), "vec_id"), "embedding").limit(sample).toArrow()
+    drawn = draw(vectors, "tree", "vec_id", sample, ties=("embedding",)).toArrow()
     by: dict[int, list] = {}
     for v in drawn["embedding"].to_pylist():
         by.setdefault(len(v), []).append(v)
@@ -174,7 +174,7 @@ def calibrate(rows: DataFrame, asked: DataFrame, index: Index, k: int, recall: f
     """Leaf visits by dimension at which sampled queries find ``recall`` of their true neighbours among all rows.
 
     The sampled queries (at most ``queries``) go to every task; rows are scored in batches as they are read."""
-    drawn = asked.orderBy(F.xxhash64(F.lit("calibration"), "vec_id")).limit(queries).collect()
+    drawn = draw(asked, "calibration", "vec_id", queries).collect()
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {r["dim"] for r in drawn}:
         of = [r for r in drawn if r["dim"] == d]
