@@ -76,11 +76,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return placed.select("doc_id", F.when(~F.col("src_null"), F.col("src")).alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
+def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds a sampling weight ``w`` to docs (doc_id and other columns): 1 and the mean of the doc_id's labels, 1.5 without one."""
+    weights = labels.groupBy("doc_id").agg((1 + F.avg("quality")).alias("label_weight"))
+    return docs.join(weights, "doc_id", "left").withColumn("w", F.coalesce("label_weight", F.lit(1.5)))
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents; good labels weigh 2, bad ones 1, no label 1.5."""
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg((1 + F.avg("quality")).alias("label_weight"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")).join(labels, "doc_id", "left")
-    return mix(docs.withColumn("w", F.coalesce("label_weight", F.lit(1.5))), quality="w", size="words").select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return mix(weighed(docs, read(spark, sf_dir, "labels")), quality="w", size="words").select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 OP10_SQL = r"""
