@@ -6,15 +6,20 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.llm import jaccard, mixing, pii, quality, spm
-from nestframe.llm.common import cut, fold, new_path, read, release
+from nestframe.llm.common import WORD, cut, fold, new_path, read, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def row_key() -> Column:
+    """A 64-bit hash of a whole row, nulls told from their places."""
+    return F.xxhash64(*COLUMNS, F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in COLUMNS]))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts; it learns from the labels that op1 learns from.
 
@@ -25,16 +30,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8; the smallest doc_id stays.
-
-    Documents without words are no duplicates and stay, as do rows without a doc_id."""
-    linked = jaccard.link(docs, k=5, percent=80)
-    gone = cut(linked.filter("component_id < doc_id").select("doc_id").distinct())
+    """One row of each group of near duplicates: five-word shingles, Jaccard 0.8; the smallest doc_id stays, a null one last, then the smallest hash of the row.
+
+    Rows that repeat a doc_id, or have none, are told apart by their content. Rows without words are no duplicates and stay."""
+    keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
+    linked = cut(jaccard.link(keyed.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80).filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct())
+    groups = linked.filter("component_id <> row_key").select("component_id").distinct()
+    grouped = linked.join(groups, "component_id", "left_semi").join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select("component_id", F.col("least.row_key").alias("kept_key"))
+    gone = cut(grouped.join(stays, "component_id").filter("row_key <> kept_key").select("row_key"))
     release(spark)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # Rows that repeat a doc_id are one group.
-    with_id = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.filter("doc_id IS NULL")).select(*COLUMNS)
+    # Equal rows are one group if they have words.
+    copy = F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.lit(0)).otherwise(1 + F.monotonically_increasing_id())
+    return keyed.withColumn("copy", copy).join(gone, "row_key", "left_anti").dropDuplicates(["row_key", "copy"]).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

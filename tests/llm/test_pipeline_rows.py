@@ -23,3 +23,10 @@ def test_good_labels_are_mixed_more_often(spark):
     path = labelled(spark, [(i, i // 3 % 2) for i in range(3000)])
     again = Counter(r["doc_id"] // 3 % 2 for r in p.mixing_stage(spark, docs, path).filter("source = 'c'").collect())
     assert again[1] > 1.25 * again[0] > 0
+
+
+def test_near_duplicates_are_rows(spark):
+    same = "one two three four five six seven eight"
+    rows = [(1, same, "a"), (1, "quite another text of the same id here", "a"), (None, same, "a"), (None, "a text without an id in two copies", "a"), (None, "a text without an id in two copies", "b"), (2, same, "a"), (2, same, "a"), (3, None, "a"), (3, None, "a"), (None, " ", "a")]
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicate_stage(spark, table(spark, rows), "").collect()]
+    assert Counter(got) == Counter({(1, same): 1, (1, rows[1][1]): 1, (None, rows[3][1]): 1, (3, None): 2, (None, " "): 1})
