@@ -54,11 +54,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The mix: a document comes once for each of its epochs, and once more if the rest of its source's budget reaches it.
 
     Good labels weigh 2, bad ones 1, no label 1.5, as in op10. Documents without words are no part of a mix."""
-    sized = mixing.weighed(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), read(spark, sf_dir, "labels"))
-    taken = mixing.mix(sized, quality="w", size="words").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("times")).filter("times > 0")
-    taken = taken.withColumnRenamed("doc_id", "mixed_id")
+    keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
+    sized = mixing.weighed(keyed.select("row_key", "doc_id", "source", mixing.word_count(F.col("text")).alias("words")), read(spark, sf_dir, "labels"))
+    # Equal rows have one key; together they come as often as all of them.
+    taken = mixing.mix(sized, quality="w", size="words", key="row_key").groupBy("row_key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("times")).filter("times > 0")
     times = F.sequence(F.lit(1), F.col("times").cast("int"))
-    return docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("time", F.explode(times)).select(*COLUMNS)
+    return keyed.dropDuplicates(["row_key"]).join(taken, "row_key").withColumn("time", F.explode(times)).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,17 +50,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return level.select("src", "src_null", "source_size", "source_weight", F.when(free, F.col("shared") * F.col("source_weight")).otherwise(F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "mix", quality: str | None = None, size: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: str = "mix", quality: str | None = None, size: str | None = None, bucket_rows: int = BUCKET_ROWS, key: str | None = None) -> DataFrame:
     """One row a row of ``docs`` (doc_id, source, and text or a column of sizes named by ``size``): doc_id, source, size, source_size, target, epochs, taken.
 
     ``taken`` counts words with repeats: ``epochs`` times the size, and the size once more for
     documents within the rest of the target; the document at the edge gives the words that still fit,
     so a source's sum is its target to the nearest word. ``quality`` names a column of positive sampling weights (null or not
     positive: 1). Null or empty texts have size 0 and give nothing. Null sources are one source. Rows
-    that repeat count each. An empty table gives an empty result. Other columns are not looked at.
+    that repeat count each. ``key`` names a column that tells rows apart: it comes with the result, and rows without
+    a doc_id are drawn by it and not all together. An empty table gives an empty result. Other columns are not looked at.
     """
     weight = F.lit(1.0) if quality is None else F.when(F.col(quality) > 0, F.col(quality).cast("double")).otherwise(F.lit(1.0))
-    sized = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), (word_count(F.col("text")) if size is None else F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("es_key"))
+    own = [] if key is None else [key]
+    drawn = F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("row:"), F.col(k).cast("string")) for k in own])
+    sized = docs.select(*own, "doc_id", F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), (word_count(F.col("text")) if size is None else F.coalesce(F.col(size), F.lit(0)).cast("long")).alias("size"), (-F.log(uniform(drawn, seed)) / weight).alias("es_key"))
     sized = cut(sized)
     buckets = max(1, -(-sized.count() // bucket_rows))
     sized = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("es_key"))) * buckets).cast("long"))
@@ -70,10 +73,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     goal = goal.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
     ahead = Window.partitionBy("src", "src_null").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = parts.withColumn("before", F.coalesce(F.sum("part").over(ahead), F.lit(0))).join(goal, ["src", "src_null"])
-    within = Window.partitionBy("src", "src_null", "bucket").orderBy("es_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "src_null", "bucket").orderBy("es_key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(edges, ["src", "src_null", "bucket"]).withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))
-    return placed.select("doc_id", F.when(~F.col("src_null"), F.col("src")).alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return placed.select(*own, "doc_id", F.when(~F.col("src_null"), F.col("src")).alias("source"), "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:

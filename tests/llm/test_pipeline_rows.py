@@ -30,3 +30,9 @@ def test_near_duplicates_are_rows(spark):
     rows = [(1, same, "a"), (1, "quite another text of the same id here", "a"), (None, same, "a"), (None, "a text without an id in two copies", "a"), (None, "a text without an id in two copies", "b"), (2, same, "a"), (2, same, "a"), (3, None, "a"), (3, None, "a"), (None, " ", "a")]
     got = [(r["doc_id"], r["text"]) for r in p.near_duplicate_stage(spark, table(spark, rows), "").collect()]
     assert Counter(got) == Counter({(1, same): 1, (1, rows[1][1]): 1, (None, rows[3][1]): 1, (3, None): 2, (None, " "): 1})
+
+
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    docs = table(spark, [(None, f"word{i}", "abc"[i % 3]) for i in range(900)] + [(7, "twice", "c")] * 2)
+    got = p.mixing_stage(spark, docs, labelled(spark, [(1, 1)])).collect()
+    assert len(got) == 903 and Counter(r["source"] for r in got) == Counter({"a": 564, "b": 226, "c": 113})
