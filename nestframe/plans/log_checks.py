@@ -2,22 +2,29 @@
 
 The log has one row a definition or selection:
 
-* ``kind``: operation, fragment, spread, field, condition, variable, use, argument or directive;
-* ``name``, and ``owner``, the name of the operation or fragment (for arguments and directives the path of the field)
-  that it stands in; an anonymous operation's name is null;
+* ``kind``: operation, fragment, spread, field, condition, variable, use, argument, input_field or directive;
+* ``name``, and ``owner``, the name of the operation or fragment (for arguments and directives the path of the field,
+  for fields of input objects the path of the object) that it stands in; an anonymous operation's name is null;
 * ``parent_type``: the type that a field is selected on, a fragment's or spread's surroundings;
-* ``key`` and ``path``: a field's response key and path; a field's children have its path as ``parent``;
+* ``key`` and ``path``: a field's response key and path; a field's children, spreads among them, have its path as ``parent``;
 * ``type``: an operation's kind, a variable's, condition's or fragment's type, the type that a use or argument is expected to
-  have; ``value``: an argument's kind of literal.
+  have; ``value``: an argument's kind of literal, a variable's default, a field's arguments as text in the order of their names.
+
+What is said of fragments holds for the operations that reach them. An owner is a fragment where its document
+defines one of this name, and an operation where it defines such or no fragment.
 
 Every check gives doc, name, message; a document that is right gives no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nestframe.llm.common import new_path
+
 SCHEMA = "doc long, kind string, name string, owner string, parent_type string, key string, path string, parent string, type string, value string"
 #: Rounds of reachability through fragments.
 DEPTH = 32
@@ -127,19 +134,65 @@ def possible_spreads(log: DataFrame, possible: DataFrame) -> DataFrame:
     return _bad(both.join(inner.join(outer, "possible").select("inner", "parent_type").distinct(), ["inner", "parent_type"], "left_anti"), "Fragment cannot be spread here as its type can never be this type")
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows from the shared folder; a checkpoint fails where Spark knows columns to be equal."""
+    path = new_path(rows.sparkSession, "checks")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _owner(column: str = "owner") -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def _fragments(log: DataFrame) -> DataFrame:
+    return _of(log, "fragment").select("doc", F.col("name").alias("owner")).distinct()
+
+
+def _operations(log: DataFrame) -> DataFrame:
+    """doc, owner of all operations: those that the log has, and owners that are no fragments."""
+    owners = log.filter(F.col("kind").isin("spread", "field", "condition", "variable", "use")).select("doc", _owner().alias("owner")).distinct()
+    return _of(log, "operation").select("doc", _owner("name").alias("owner")).unionByName(owners.join(_fragments(log), ["doc", "owner"], "left_anti")).distinct()
+
+
+def reachable(log: DataFrame) -> DataFrame:
+    """doc, operation, owner: each operation with itself and all fragments that it reaches."""
+    edges = _of(log, "spread").select("doc", _owner().alias("owner"), F.col("name").alias("next")).join(_fragments(log).withColumnRenamed("owner", "next"), ["doc", "next"], "left_semi").distinct()
+    new = _operations(log).select("doc", F.col("owner").alias("operation"), "owner")
+    return _closure(new, lambda last: last.join(edges, ["doc", "owner"]).select("doc", "operation", F.col("next").alias("owner")))
+
+
+def _closure(start: DataFrame, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The distinct rows ``start`` and all that rounds of ``further`` add to it, until no row is new."""
+    found = new = _stored(start)
+    while not new.isEmpty():
+        new = _stored(further(new).distinct().join(found, start.columns, "left_anti"))
+        found = _stored(found.unionByName(new))
+    return found
+
+
+def _variables(log: DataFrame) -> DataFrame:
+    return _of(log, "variable").withColumn("operation", _owner())
+
+
+def _uses(log: DataFrame) -> DataFrame:
+    """Uses with each operation that reaches them."""
+    return _of(log, "use").withColumn("owner", _owner()).join(reachable(log), ["doc", "owner"])
+
+
 def undefined_variables(log: DataFrame) -> DataFrame:
-    return _bad(_of(log, "use").join(_of(log, "variable").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti"), "Variable is not defined by operation")
+    return _bad(_uses(log).join(_variables(log).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is not defined by operation")
 
 
 def unused_variables(log: DataFrame) -> DataFrame:
-    return _bad(_of(log, "variable").join(_of(log, "use").select("doc", "owner", "name"), ["doc", "owner", "name"], "left_anti"), "Variable is never used in operation")
+    return _bad(_variables(log).join(_uses(log).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is never used in operation")
 
 
 def variable_positions(log: DataFrame) -> DataFrame:
     """Uses where a type is expected that the variable's isn't: it may only be stricter about nulls."""
-    variables = _of(log, "variable").select("doc", "owner", "name", F.col("type").alias("given"), F.col("value").alias("default"))
+    variables = _variables(log).select("doc", "operation", "name", F.col("type").alias("given"), F.col("value").alias("default"))
     given = F.when(F.col("default").isNotNull() & ~F.col("given").endswith("!"), F.concat("given", F.lit("!"))).otherwise(F.col("given"))
-    used = _of(log, "use").filter(F.col("type").isNotNull()).join(variables, ["doc", "owner", "name"])
+    used = _uses(log).filter(F.col("type").isNotNull()).join(variables, ["doc", "operation", "name"])
     fits = (given == F.col("type")) | (given == F.concat("type", F.lit("!"))) | (F.regexp_replace(given, "!", "") == F.col("type"))
     return _bad(used.filter(~fits), "Variable of its type used in position expecting another type")
 
@@ -173,6 +226,35 @@ def argument_values(log: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def conflicting_keys(log: DataFrame) -> DataFrame:
-    """Response keys that stand for different fields of one type below one field."""
-    by = _of(log, "field").groupBy("doc", "owner", "parent", "parent_type", "key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
-    return _bad(by.filter("lo <> hi"), "Fields conflict because they are different fields", "key")
+    """Response keys that stand for different fields, or one field with different arguments, of one type in selections that are merged.
+
+    A selection (owner and path) is merged with the fragments that it spreads, directly or through others, and these with one
+    another; where merged selections have the same field, the selections below are merged too. Fields of different
+    parent types are not compared, nor are the types that fields give.
+    """
+    fields = _of(log, "field").select("doc", _owner().alias("owner"), F.coalesce("parent", F.lit("")).alias("at"), F.coalesce("path", F.lit("")).alias("path"), "parent_type", "key", "name", F.coalesce("value", F.lit("")).alias("value")).distinct()
+    spreads = _of(log, "spread").select("doc", _owner().alias("owner"), F.coalesce("parent", F.lit("")).alias("at"), F.col("name").alias("next")).distinct()
+    spreads = _stored(spreads.join(_fragments(log).withColumnRenamed("owner", "next"), ["doc", "next"], "left_semi"))
+    side = lambda df, n: df.select("doc", *[F.col(c).alias(c + n) for c in df.columns if c != "doc"])
+    a, b, other = side(fields, "_a"), side(fields, "_b"), side(spreads, "_b").withColumnRenamed("next_b", "next")
+    same = lambda c: F.col(c + "_a").eqNullSafe(F.col(c + "_b"))
+    nodes = fields.select("doc", "owner", "at").unionByName(spreads.select("doc", "owner", "at")).distinct()
+    pairs = nodes.select("doc", F.col("owner").alias("owner_a"), F.col("at").alias("at_a"), F.col("owner").alias("owner_b"), F.col("at").alias("at_b"))
+
+    def met(last: DataFrame) -> DataFrame:
+        return last.join(a, ["doc", "owner_a", "at_a"]).join(b, ["doc", "owner_b", "at_b"]).filter(same("key") & same("parent_type"))
+
+    def further(last: DataFrame) -> DataFrame:
+        spread = last.join(other, ["doc", "owner_b", "at_b"]).select("doc", "owner_a", "at_a", F.col("next").alias("owner_b"), F.lit("").alias("at_b"))
+        below = met(last).filter(same("name") & same("value") & (F.col("path_a") != "") & (F.col("path_b") != "")).select("doc", "owner_a", F.col("path_a").alias("at_a"), "owner_b", F.col("path_b").alias("at_b"))
+        both = spread.unionByName(below)
+        return both.unionByName(both.select("doc", F.col("owner_b").alias("owner_a"), F.col("at_b").alias("at_a"), F.col("owner_a").alias("owner_b"), F.col("at_a").alias("at_b")))
+
+    crossed = None
+    if not spreads.isEmpty():
+        own = _closure(pairs, further).filter((F.col("owner_a") != F.col("owner_b")) | (F.col("at_a") != F.col("at_b")))
+        crossed = met(own).filter(~same("name") | ~same("value")).select("doc", F.col("key_a").alias("key"), same("name").alias("one"))
+    by = fields.groupBy("doc", "owner", "at", "parent_type", "key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.min("value").alias("least"), F.max("value").alias("most"))
+    alone = by.filter("lo <> hi OR least <> most").select("doc", "key", F.expr("lo = hi").alias("one"))
+    every = alone if crossed is None else alone.unionByName(crossed)
+    return _bad(every, F.when(F.col("one"), "Fields conflict because they have differing arguments").otherwise("Fields conflict because they are different fields"), "key")
