@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from nestframe.llm.common import new_path
 
 SCHEMA = "doc long, kind string, name string, owner string, parent_type string, key string, path string, parent string, type string, value string"
-#: Rounds of reachability through fragments.
-DEPTH = 32
 
 
 def _of(log: DataFrame, kind: str) -> DataFrame:
@@ -98,28 +96,23 @@ def known_fragments(log: DataFrame) -> DataFrame:
     return _bad(_of(log, "spread").join(_of(log, "fragment").select("doc", "name"), ["doc", "name"], "left_anti"), "Unknown fragment")
 
 
-def unused_fragments(log: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Fragments that no operation reaches through up to ``depth`` others; an anonymous operation is the owner ``null``."""
-    edge = lambda c: F.coalesce(F.col(c), F.lit("")).alias("owner")
-    spreads = _of(log, "spread").select("doc", edge("owner"), "name").distinct()
-    reached = spreads.join(_of(log, "operation").select("doc", edge("name")), ["doc", "owner"], "left_semi").select("doc", "name").distinct()
-    for _ in range(depth):
-        further = spreads.join(reached.withColumnRenamed("name", "owner"), ["doc", "owner"]).select("doc", "name").join(reached, ["doc", "name"], "left_anti").distinct()
-        if further.isEmpty():
-            break
-        reached = reached.unionByName(further)
+def unused_fragments(log: DataFrame) -> DataFrame:
+    """Fragments that no operation reaches, directly or through others; an anonymous operation is the owner ``null``."""
+    spreads = _of(log, "spread").select("doc", _owner().alias("owner"), "name").distinct()
+    start = spreads.join(_of(log, "operation").select("doc", _owner("name").alias("owner")), ["doc", "owner"], "left_semi").select("doc", "name").distinct()
+    reached = _closure(start, lambda last: last.withColumnRenamed("name", "owner").join(spreads, ["doc", "owner"]).select("doc", "name"))
     return _bad(_of(log, "fragment").join(reached, ["doc", "name"], "left_anti"), "Fragment is never used")
 
 
-def fragment_cycles(log: DataFrame, depth: int = DEPTH) -> DataFrame:
+def fragment_cycles(log: DataFrame) -> DataFrame:
     """Fragments that spread themselves, directly or through others."""
     edges = _of(log, "spread").join(_of(log, "fragment").select("doc", F.col("name").alias("owner")), ["doc", "owner"], "left_semi").select("doc", F.col("owner").alias("a"), F.col("name").alias("b")).distinct()
-    reach = edges
-    for _ in range(depth.bit_length()):  # each round doubles the length of the ways
-        further = reach.alias("x").join(reach.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.b") == F.col("y.a"))).select("x.doc", "x.a", "y.b").distinct().join(reach, ["doc", "a", "b"], "left_anti")
+    reach = _stored(edges)
+    while True:  # each round doubles the length of the ways
+        further = _stored(reach.alias("x").join(reach.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.b") == F.col("y.a"))).select("x.doc", "x.a", "y.b").distinct().join(reach, ["doc", "a", "b"], "left_anti"))
         if further.isEmpty():
             break
-        reach = reach.unionByName(further)
+        reach = _stored(reach.unionByName(further))
     return _bad(reach.filter("a = b"), "Cannot spread fragment within itself", "a")
 
 

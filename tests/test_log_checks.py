@@ -49,3 +49,10 @@ def test_conflicts_through_fragments(spark):
 def test_input_fields(spark):
     twice = [row("input_field", "a", "orders.filter"), row("input_field", "a", "orders.filter")]
     assert bad(lambda log: of.unique_names(log, "input_field"), spark, twice, [twice[0], row("input_field", "a", "orders.other")]) == [["a"], []]
+
+
+def test_fragments_far_from_operations(spark):
+    chain = [row("operation", "q"), row("spread", "f0", "q"), *[row("fragment", f"f{i}") for i in range(40)], *[row("spread", f"f{i + 1}", f"f{i}") for i in range(39)]]
+    cycle = [*[row("fragment", f"f{i}") for i in range(70)], *[row("spread", f"f{(i + 1) % 70}", f"f{i}") for i in range(70)]]
+    assert bad(of.unused_fragments, spark, chain) == [[]]
+    assert len(bad(of.fragment_cycles, spark, cycle)[0]) == 70
