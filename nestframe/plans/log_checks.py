@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import new_path
+from nestframe.storage import stored as _stored
 
 SCHEMA = "doc long, kind string, name string, owner string, parent_type string, key string, path string, parent string, type string, value string"
 
@@ -127,13 +127,6 @@ def possible_spreads(log: DataFrame, possible: DataFrame) -> DataFrame:
     return _bad(both.join(inner.join(outer, "possible").select("inner", "parent_type").distinct(), ["inner", "parent_type"], "left_anti"), "Fragment cannot be spread here as its type can never be this type")
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """The rows from the shared folder; a checkpoint fails where Spark knows columns to be equal."""
-    path = new_path(rows.sparkSession, "checks")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _owner(column: str = "owner") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
