@@ -1,34 +1,18 @@
-"""What several operators share: shared folders, word patterns, held-out folds."""
+"""What several operators share: cut lineage, word patterns, held-out folds."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestframe.storage import new_path as new_path, shared_dir
+
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
-    sc = spark.sparkContext
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="nestframe-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/nestframe/{name}-{uuid.uuid4().hex}"
-
-
 def release(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()
