@@ -33,3 +33,37 @@ def stored(rows: DataFrame, name: str = "rows") -> DataFrame:
     path = new_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that a job writes on its way: each is cut off from what it was made from, and emptied when it is not needed any more."""
+
+    #: Has Spark delete the shuffle files of a finished write.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows from a table of their own, so that lost executors cost no recomputation."""
+        path = new_path(self.spark, name)
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            rows.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
+        kept = self.spark.read.schema(rows.schema).parquet(path)
+        self.paths.append((kept, path))
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empties kept tables; nothing may read them afterwards."""
+        for table, path in self.paths:
+            if any(table is t for t in tables):
+                table.limit(0).write.mode("overwrite").parquet(path)
+        self.paths = [(t, p) for t, p in self.paths if not any(t is x for x in tables)]
