@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestframe.storage import new_path as new_path, shared_dir
+from nestframe.storage import Scratch, new_path as new_path
 
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and cuts the lineage, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows from a table in the shared folder, so that lost executors cost no recomputation."""
+    return Scratch(df.sparkSession).keep(df, "cut")
 
 
 def word_count(text: Column) -> Column:

@@ -3,13 +3,15 @@
 A set's shingles are hashed into groups; the counts by group are a point. Two sets overlap in no more
 than the summed coordinate minima of their points, so pairs are bounded before any set is looked at.
 
-* Sets that are equal are one node, known by a hash of the whole set.
+* Sets that are equal are one node, known by a 128-bit digest of the whole set (of its words, if it is small).
 * Points meet by shared keys: sets that link differ in at most d shingles, a number that follows from their
   sizes, so of more than d parts into which all shingles fall by hash, one at least is the same in both. A part's
   content is the key. Keys that hold the same nodes are one. Passages that many documents share seldom fill a part.
-* Within a key a bulk-loaded R-tree over the points joins leaves whose boxes' summed minima allow a link,
-  and finer counts bound what is left. Keys with very many nodes are split into blocks that meet pairwise.
-* A first round keeps a spanning forest of each key's possible pairs and verifies it on the sets. A
+* Within a key a bulk-loaded R-tree over the points is joined with itself from the root down: a pair of boxes goes on
+  while the summed minima of their upper corners, and their sizes, allow a link; finer counts bound what is
+  left. Keys with very many nodes are split into blocks that meet pairwise.
+* Pairs that are left are verified on their words.
+* A first round keeps a spanning forest of each key's possible pairs and verifies it. A
   second round takes the possible pairs that are still in different components, so no link between
   components is lost and a group of many near copies costs little more than its size.
 """
@@ -17,27 +19,34 @@ than the summed coordinate minima of their points, so pairs are bounded before a
 from __future__ import annotations
 
 import hashlib
+import secrets
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import cut, read
+from nestframe.llm.common import read
 from nestframe.llm.graph import components
-from nestframe.llm.shingles import BASE, mix64, shingle_sets
+from nestframe.llm.shingles import BASE, mix64, shingle_sets, word_sets
+from nestframe.storage import Scratch
 
-#: Coordinates of a point, and of its finer counts; bits of the node filter (of fixed size).
-GROUPS, FINE, BITS = 32, 256, 1 << 26
-#: Groups of the counts that bound a pair once more before its sets meet.
+#: Coordinates of a point, and of its finer counts.
+GROUPS, FINE = 32, 256
+#: Groups of the counts that bound a pair once more before its words meet.
 FINEST = 1024
+#: Bits of the node filter that is sent to tasks: so many a node, up to a bound of 64 MB.
+BITS_A_NODE, MOST_BITS = 16, 1 << 29
 #: A task remembers so many nodes, so as not to pass on their copies.
-COPIES = 1 << 20
+COPIES = 1 << 18
+#: Sets of up to so many shingles are known by their words, larger ones by their hashed shingles.
+SMALL = 64
 #: Sizes are dealt into intervals that grow by this factor; a set may have this share more parts than it needs.
 GROWTH, SPARE = 1.5, 0.06
-#: Points in an R-tree leaf; nodes of a key that meet in one task, beyond which its blocks meet pairwise.
-LEAF, BLOCK = 48, 20_000
+#: Points of a leaf, boxes of pairs bounded at once, and nodes of a block of a large key.
+LEAF, PAIRS, BLOCK = 16, 4096, 20_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -46,8 +55,16 @@ def _rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(s: np.ndarray, text: str, k: int) -> bytes:
+    """A set's digest."""
+    if len(s) > SMALL:
+        return hashlib.blake2b(s.tobytes(), digest_size=16, person=b"hashes").digest()
+    return hashlib.blake2b(b"\n".join(sorted(b" ".join(x) for x in word_sets(text, k))), digest_size=16, person=b"words").digest()
+
+
+def tag(node: str) -> Column:
+    """A node's 64 bits by which keys know it; nodes that share one meet all the same."""
+    return F.xxhash64(node)
 
 
 def intervals(percent: int) -> list[tuple[int, int, int, int]]:
@@ -97,82 +114,109 @@ def counted(raw: bytes, groups: int = FINE) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == groups else np.uint32)
 
 
-def points(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node, point (counts by fine group) of every row; an empty set's node is null."""
+def shingled(docs: DataFrame, k: int, percent: int, secret: int) -> DataFrame:
+    """doc_id, n (set size), node (null: empty set) of every row, and of a node, once a task at least, its point (counts by fine group) and keys, null in other rows."""
+    known = intervals(percent)
 
     def run(batches):
+        seen: set[bytes] = set()
         for part in _rows(batches):
-            sets = list(shingle_sets(part.column("text").to_pylist(), k))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([counts(s) for s in sets], pa.binary())], names=["doc_id", "n", "node", "point"])
+            texts = part.column("text").to_pylist()
+            sizes, nodes, points, keys = [], [], [], []
+            for text, s in zip(texts, shingle_sets(texts, k, secret), strict=True):
+                node = _node(s, text, k) if len(s) else None
+                new = node is not None and node not in seen
+                if new:
+                    if len(seen) >= COPIES:
+                        seen = set()
+                    seen.add(node)
+                sizes.append(len(s))
+                nodes.append(node)
+                points.append(counts(s) if new else None)
+                keys.append(part_keys(s, percent, known).view(np.int64) if new else None)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "point", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, point binary")
-
-
-def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, key for all keys of every row's set."""
-    known = intervals(percent)
-
-    def run(batches):
-        seen: set[int] = set()
-        for part in _rows(batches):
-            sets = {_node(s): s for s in shingle_sets(part.column("text").to_pylist(), k) if len(s)}
-            new = [x for x in sets if x not in seen]
-            seen = (seen if len(seen) < COPIES else set()).union(new)
-            keys = [part_keys(sets[x], percent, known).view(np.int64) for x in new]
-            node = np.repeat(np.array(new, np.int64), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "key"])
-
-    return docs.select("text").mapInArrow(run, "node long, key long")
-
-
-def leaves(x: np.ndarray) -> list[np.ndarray]:
-    """The leaves of a bulk-loaded R-tree: points are halved along their widest coordinate until a leaf holds them."""
-    todo, done = [np.arange(len(x))], []
-    while todo:
-        part = todo.pop()
-        if len(part) <= LEAF:
-            done.append(part)
-            continue
-        of = x[part]
-        axis = int(np.argmax(of.max(0) - of.min(0)))
-        part = part[np.argsort(of[:, axis], kind="stable")]
-        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
-    return done
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node binary, point binary, keys array<long>")
+
+
+class Tree:
+    """A bulk-loaded R-tree: points are halved along their widest coordinate until a leaf holds them.
+
+    Node i holds the points ``rows[i]``; its box's upper corner is ``high[i]``, its sizes lie from ``low_n[i]`` to ``high_n[i]``, and
+    its children are ``left[i]`` and ``right[i]``, -1 in a leaf."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray) -> None:
+        self.rows, self.left, self.right, depth = [np.arange(len(x))], [-1], [-1], [0]
+        at = 0
+        while at < len(self.rows):
+            part = self.rows[at]
+            if len(part) > LEAF:
+                of = x[part]
+                axis = int(np.argmax(of.max(0) - of.min(0)))
+                part = part[np.argsort(of[:, axis], kind="stable")]
+                self.left[at], self.right[at] = len(self.rows), len(self.rows) + 1
+                self.rows += [part[: len(part) // 2], part[len(part) // 2 :]]
+                self.left += [-1, -1]
+                self.right += [-1, -1]
+                depth += [depth[at] + 1] * 2
+            at += 1
+        self.depth = np.array(depth)
+        self.high = np.array([x[p].max(0) for p in self.rows])
+        self.low_n, self.high_n = (np.array([f(n[p]) for p in self.rows]) for f in (np.min, np.max))
+        self.size = np.array([len(p) for p in self.rows])
+        self.left, self.right = np.array(self.left), np.array(self.right)
+
+    def joined(self, percent: int, cuts: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves, each pair once, whose boxes allow a link; ``cuts`` counts pairs of points by (depth, whether they go on)."""
+        todo = [np.zeros((1, 2), np.int64)]
+        while todo:
+            pairs = todo.pop()
+            i, j = pairs.T
+            on = np.minimum(self.high[i], self.high[j]).sum(1) * (100 + percent) >= percent * (self.low_n[i] + self.low_n[j])
+            on &= (100 * self.high_n[i] >= percent * self.low_n[j]) & (100 * self.high_n[j] >= percent * self.low_n[i])
+            if cuts is not None:
+                for d, go, m in zip(np.maximum(self.depth[i], self.depth[j]).tolist(), on.tolist(), np.where(i == j, self.size[i] * (self.size[i] - 1) // 2, self.size[i] * self.size[j]).tolist(), strict=True):
+                    cuts[d, go] += m
+            i, j = i[on], j[on]
+            ends = (self.left[i] < 0) & (self.left[j] < 0)
+            for a, b in zip(i[ends].tolist(), j[ends].tolist(), strict=True):
+                yield self.rows[a], self.rows[b]
+            i, j = i[~ends], j[~ends]
+            one, two = i == j, i != j
+            # The larger of two different boxes is opened; a leaf is never larger than a node that isn't one.
+            first = self.size[i] >= self.size[j]
+            big, small = np.where(first, i, j)[two], np.where(first, j, i)[two]
+            left, right = self.left[i[one]], self.right[i[one]]
+            more = np.concatenate([np.column_stack(p) for p in ((left, left), (left, right), (right, right), (self.left[big], small), (self.right[big], small))])
+            todo += [more[at : at + PAIRS] for at in range(0, len(more), PAIRS)]
 
 
 def possible(fine: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of pairs to look at, as two index arrays, a mask of pairs that may link, and their bounds.
 
-    ``side`` is 0 or 1: where both occur, only pairs across are looked at. A pair of leaves is passed
-    over when the minima of its boxes' upper corners sum to less than a link needs; what is left is bounded
+    ``side`` is 0 or 1: where both occur, only pairs across are looked at. What the tree leaves is bounded
     by the points, then by the finer counts.
     """
     x = fine.reshape(len(fine), GROUPS, -1).sum(2)
-    tree = leaves(x)
-    high = np.array([x[p].max(0) for p in tree])
-    low_n = np.array([n[p].min() for p in tree])
     across = bool(side.any() and not side.all())
-    for i, a in enumerate(tree):
-        bound = np.minimum(high[i], high[i:]).sum(1)
-        for j in i + np.flatnonzero(bound * (100 + percent) >= percent * (low_n[i] + low_n[i:])):
-            b = tree[j]
-            shared = np.minimum(x[a][:, None, :], x[b][None, :, :]).sum(2)
-            ok = shared * (100 + percent) >= percent * (n[a][:, None] + n[b][None, :])
-            if i == j:
-                ok &= np.triu(np.ones_like(ok), 1)
-            if across:
-                ok &= side[a][:, None] != side[b][None, :]
-            r, c = np.nonzero(ok)
-            if len(r):
-                shared = np.zeros(ok.shape)
-                shared[r, c] = closer = np.minimum(fine[a[r]], fine[b[c]]).sum(1)
-                ok[r, c] = closer * (100 + percent) >= percent * (n[a[r]] + n[b[c]])
-                if ok.any():
-                    yield a, b, ok, shared / (n[a][:, None] + n[b][None, :])
-
-
-def forest(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    for a, b in Tree(x, n).joined(percent):
+        shared = np.minimum(x[a][:, None, :], x[b][None, :, :]).sum(2)
+        ok = shared * (100 + percent) >= percent * (n[a][:, None] + n[b][None, :])
+        if a is b:
+            ok &= np.triu(np.ones_like(ok), 1)
+        if across:
+            ok &= side[a][:, None] != side[b][None, :]
+        r, c = np.nonzero(ok)
+        if len(r):
+            shared = np.zeros(ok.shape)
+            shared[r, c] = closer = np.minimum(fine[a[r]], fine[b[c]]).sum(1)
+            ok[r, c] = closer * (100 + percent) >= percent * (n[a[r]] + n[b[c]])
+            if ok.any():
+                yield a, b, ok, shared / (n[a][:, None] + n[b][None, :])
+
+
+def forest(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs that may link, nearest first within each pair of leaves."""
     label = np.arange(len(x))
     out_a: list[int] = []
@@ -188,7 +232,7 @@ def forest(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> tupl
             out_a.append(int(a[i]))
             out_b.append(int(b[j]))
             label[label == label[b[j]]] = label[a[i]]
-    return out_a, out_b
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def rest(x: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,8 +263,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(parts)
-    out = {c: table[c].to_numpy() for c in table.column_names if c != "point"}
+    out = {c: table[c].to_numpy() for c in table.column_names if c not in ("point", "component")}
     out["x"] = np.array([counted(p) for p in table["point"].to_pylist()]).astype(np.int32)
+    if "component" in table.column_names:
+        numbers: dict[bytes, int] = {}
+        out["component"] = np.array([numbers.setdefault(c, len(numbers)) for c in table["component"].to_pylist()])
     return out
 
 
@@ -233,10 +280,8 @@ def candidates(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
     dealt = dealt.withColumn("side", (F.col("own") == F.col("j")).cast("int")).drop("own")
 
     def run(batches):
-        held_a: list[np.ndarray] = []
-        held_b: list[np.ndarray] = []
-        held = 0
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)) for p, q in [(np.concatenate(held_a), np.concatenate(held_b))]] + [pa.array(np.maximum(p, q)) for p, q in [(np.concatenate(held_a), np.concatenate(held_b))]], names=["a", "b"])
+        held: list[tuple[bytes, bytes]] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([p[i] for p in held], pa.binary()) for i in (0, 1)], names=["a", "b"])
         for g in _groups(batches):
             node = g["node"]
             side = g["side"] if g["i"][0] != g["j"][0] else np.zeros(len(node), np.int64)
@@ -245,95 +290,102 @@ def candidates(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
             if labelled:
                 pairs = rest(g["x"], g["n"], side, percent, g["component"])
             else:
-                a, b = forest(g["x"], g["n"], side, percent)
-                pairs = [(np.array(a, np.int64), np.array(b, np.int64))]
+                pairs = [forest(g["x"], g["n"], side, percent)]
             for a, b in pairs:
-                held_a.append(node[a])
-                held_b.append(node[b])
-                held += len(a)
-                if held > 50_000:
+                held += [(p, q) if p < q else (q, p) for p, q in zip(node[a].tolist(), node[b].tolist(), strict=True)]
+                if len(held) > 50_000:
                     yield pack()
-                    held_a, held_b, held = [], [], 0
+                    held = []
         if held:
             yield pack()
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, shingles (binary, sorted) of the given nodes, made anew from the texts.
+def texts_of(docs: DataFrame, nodes: DataFrame, k: int, secret: int) -> DataFrame:
+    """node, n, finest (counts), text of the given nodes, made anew from the texts.
 
-    A bit filter of fixed size, sent to the tasks, spares most other sets the way to the exact semi join."""
-    word = F.shiftrightunsigned(F.col("h"), 6).cast("long")
-    hashed = nodes.select((F.col("node").bitwiseAND(F.lit(BITS - 1))).alias("h")).select(word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    table = hashed.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # BITS / 64 rows at most
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    A bit filter of bounded size, sent to the tasks, spares most other texts the way to the exact semi join."""
+    bits = 1 << min(MOST_BITS, max(1 << 16, BITS_A_NODE * nodes.count())).bit_length() - 1
+    hashed = nodes.select(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1)).alias("h"))
+    table = hashed.groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()  # bits / 64 rows at most
+    words = np.zeros(bits // 64, np.int64)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     def run(batches):
         known = sent.value
-        seen: set[int] = set()
-        for part in _rows(batches):
-            found: dict[int, bytes] = {}
-            for s in shingle_sets(part.column("text").to_pylist(), k):
-                if len(s):
-                    node = _node(s)
-                    h = node & (BITS - 1)
-                    if node not in seen and int(known[h >> 6]) >> (h & 63) & 1:
-                        found[node] = s.tobytes()
-            seen = (seen if len(seen) < COPIES else set()).union(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-
-
-def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the finest counts allow; these are much smaller than the sets."""
-
-    def count(batches):
+        seen: set[bytes] = set()
         for part in _rows(batches):
-            sets_ = [np.frombuffer(s, np.uint64) for s in part.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets_], pa.int64()), pa.array([counts(s, FINEST) for s in sets_], pa.binary())], names=["node", "n", "c"])
+            texts = part.column("text").to_pylist()
+            out: list[tuple[bytes, int, bytes, str]] = []
+            for text, s in zip(texts, shingle_sets(texts, k, secret), strict=True):
+                if not len(s):
+                    continue
+                node = _node(s, text, k)
+                h = int.from_bytes(node[:4]) & (bits - 1)
+                if node not in seen and int(known[h >> 6]) >> (h & 63) & 1:
+                    if len(seen) >= COPIES:
+                        seen = set()
+                    seen.add(node)
+                    out.append((node, len(s), counts(s, FINEST), text))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["node", "n", "finest", "text"])
+
+    made = docs.select("text").mapInArrow(run, "node binary, n long, finest binary, text string")
+    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def close(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the finest counts allow; these are much smaller than the texts."""
 
     def run(batches):
         for part in _rows(batches):
             keep = [int(np.minimum(counted(p, FINEST), counted(q, FINEST)).sum(dtype=np.int64)) * (100 + percent) >= percent * (m + n) for p, q, m, n in zip(*(part.column(c).to_pylist() for c in ("ca", "cb", "na", "nb")), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    finest = sets.mapInArrow(count, "node long, n long, c binary")
+    finest = texts.select("node", "n", "finest")
     both = pairs.join(finest.toDF("a", "na", "ca"), "a").join(finest.toDF("b", "nb", "cb"), "b")
-    return both.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(run, "a binary, b binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-    sets = cut(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k))
-    left = cut(close(pairs, sets, percent))
+def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int, secret: int) -> DataFrame:
+    """The pairs whose sets link, by their words."""
+    nodes = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    texts = scratch.keep(texts_of(docs, nodes, k, secret), "texts")
+    left = scratch.keep(close(pairs, texts, percent), "close")
 
     def run(batches):
-        for part in _rows(batches, 256):
+        for part in _rows(batches, 64):
             keep = []
-            for p, q in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                shared = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
+            last, one = None, set()
+            for a, p, q in zip(part.column("a").to_pylist(), part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True):
+                if a != last:
+                    last, one = a, word_sets(p, k)
+                other = word_sets(q, k)
+                shared = len(one & other)
+                keep.append(100 * shared >= percent * (len(one) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = left.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    text = texts.select("node", "text")
+    both = left.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+    edges = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "edges")
+    scratch.drop(nodes, texts, left)
+    return edges
 
 
-def members(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, node, nodes (how many nodes the key has) of keys that more than one node has."""
-    rows = keyed(docs, k, percent)
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    member = cut(rows.join(shared, "key").distinct())
+def members(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """key, tag (of a node), nodes (how many nodes the key has) of keys that more than one node has."""
+    rows = sets.filter(F.col("keys").isNotNull()).select(tag("node").alias("tag"), F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo < hi").select("key")
+    member = scratch.keep(rows.join(shared, "key").distinct(), "members")
     # Near copies share most of their keys: of keys with the same nodes (by two hashes) one is kept.
-    alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (0, 1)))
+    alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "tag")).alias(f"h{i}") for i in (0, 1)))
     kept = alike.groupBy("nodes", "h0", "h1").agg(F.min("key").alias("key")).select("key", "nodes")
-    return cut(member.join(kept, "key"))
+    out = scratch.keep(member.join(kept, "key"), "keys")
+    scratch.drop(member)
+    return out
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -344,31 +396,36 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of fewer than k words is one shingle; null texts and texts without words have no shingles and are
     alone. Equal sets are linked, so are rows that repeat a doc_id with equal texts. A null doc_id takes part, and is a
     component_id only where all of a component are null. An empty table gives an empty result. Other
-    columns are not looked at. Shingles and sets are told apart by 64-bit hashes.
+    columns are not looked at. Pairs are looked for by hashes under a key that is drawn anew for each call, and
+    verified on their words; equal sets are known by 128-bit digests.
     """
     docs = docs.select("doc_id", "text")
-    made = cut(points(docs, k))
-    member = members(docs, k, percent)
-    seen = member.select("node").distinct()
-    point = made.join(seen, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    full = member.join(point, "node")
-    first = cut(candidates(full, percent, False))
-    edges = verified(docs, first, k, percent)
-    known = components(edges)
+    scratch, secret = Scratch(docs.sparkSession), secrets.randbits(64)
+    made = scratch.keep(shingled(docs, k, percent, secret), "sets")
+    rows = made.filter("n > 0").select("doc_id", "n", "node")
+    member = members(scratch, made)
+    seen = member.select("tag").distinct()
+    point = made.filter(F.col("point").isNotNull()).select(tag("node").alias("tag"), "node", "n", "point").join(seen, "tag", "left_semi").dropDuplicates(["node"])
+    full = scratch.keep(member.join(point, "tag").drop("tag"), "full")
+    scratch.drop(member)
+    first = scratch.keep(candidates(full, percent, False), "first")
+    edges = verified(scratch, docs, first, k, percent, secret)
+    known = components(scratch, edges)
     # Keys of two nodes are done; the others' pairs across components are still to be verified.
     labelled = full.filter("nodes > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    second = cut(candidates(labelled.join(open_keys, "key", "left_semi"), percent, True).join(first, ["a", "b"], "left_anti"))
+    second = scratch.keep(candidates(labelled.join(open_keys, "key", "left_semi"), percent, True).join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
-        added = verified(docs, second, k, percent)
+        added = verified(scratch, docs, second, k, percent, secret)
         if not added.isEmpty():
-            known = components(edges.unionByName(added))
+            known = components(scratch, edges.unionByName(added))
+    scratch.drop(full, first, second)
     # A component's smallest id, by way of its nodes: copies are grouped before components are.
-    nodes = made.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("node", "component_id")
     alone = made.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return made.filter("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return rows.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 from nestframe.llm import jaccard, licenses, pii, spm, topk
 from nestframe.llm.graph import components
 from nestframe.llm.queries import ORACLE_SQL, QUERIES
+from nestframe.storage import Scratch
 from tests.oracle import same
 
 SMALL = "/root/testdata/sf0.001"
@@ -85,7 +86,7 @@ def test_r_tree_loses_no_pair():
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, rng.randrange(101, 140)) for _ in range(60)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(v == 100 for k, v in got.items() if 100 <= k < 140) and got[201] == 200
 
 
