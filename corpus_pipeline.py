@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.llm import jaccard, mixing, pii, quality, spm
-from nestframe.llm.common import WORD, cut, fold, new_path, read, release
+from nestframe.llm.common import WORD, fold, new_path, read
+from nestframe.storage import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def row_key() -> Column:
-    """A 64-bit hash of a whole row, nulls told from their places."""
-    return F.xxhash64(*COLUMNS, F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in COLUMNS]))
+    """128 bits of the SHA-256 of a whole row, its columns told apart by their lengths and nulls by their mark."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in COLUMNS]
+    return F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, 16)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +36,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id, or have none, are told apart by their content. Rows without words are no duplicates and stay."""
     keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
-    linked = cut(jaccard.link(keyed.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80).filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct())
+    scratch = Scratch(spark)
+    linked = scratch.keep(jaccard.link(keyed.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80).filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct(), "linked")
     groups = linked.filter("component_id <> row_key").select("component_id").distinct()
     grouped = linked.join(groups, "component_id", "left_semi").join(keyed.select("row_key", "doc_id").distinct(), "row_key")
     stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select("component_id", F.col("least.row_key").alias("kept_key"))
-    gone = cut(grouped.join(stays, "component_id").filter("row_key <> kept_key").select("row_key"))
-    release(spark)
+    gone = scratch.keep(grouped.join(stays, "component_id").filter("row_key <> kept_key").select("row_key"), "gone")
+    scratch.drop(linked)
     # Equal rows are one group if they have words.
     copy = F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.lit(0)).otherwise(1 + F.monotonically_increasing_id())
     return keyed.withColumn("copy", copy).join(gone, "row_key", "left_anti").dropDuplicates(["row_key", "copy"]).select(*COLUMNS)
