@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestframe.functions.text import quoted, shown
+
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 #: Marks an argument that wasn't given, which differs from null.
 UNSET: Any = type("Unset", (), {"__repr__": lambda self: "UNSET", "__bool__": lambda self: False})()
@@ -28,9 +30,26 @@ class Coerced:
         return F.lit(False) if self.message is None else self.message.isNotNull()
 
 
-def _checked(value: Column, ok: Column, given: Column, name: str, why: str) -> Coerced:
+#: Forms of numbers in text, and the texts of the messages.
+INTEGER = "^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NON_INTEGER, NON_NUMERIC = "not an integer", "not a numeric value"
+TOO_LARGE, TOO_SMALL = "value too large for 32-bit signed integer", "value too small for 32-bit signed integer"
+INEXACT = "integer that cannot represent with float: out of range"
+
+
+def _text(c: Column, kind: str) -> Column:
+    """A value as messages show it."""
+    return quoted(c) if kind == "string" else shown(c.cast("double")) if kind in ("float", "double") else c.cast("string")
+
+
+def _refused(name: str, c: Column, kind: str, why: str | Column) -> Column:
+    return F.concat(F.lit(f"{name} cannot represent "), _text(c, kind), F.lit(": "), F.lit(why) if isinstance(why, str) else why)
+
+
+def _checked(value: Column, ok: Column, given: Column, message: Column) -> Coerced:
     bad = given.isNotNull() & ~F.coalesce(ok, F.lit(False))
-    return Coerced(F.when(~bad, value), F.when(bad, F.concat(F.lit(f"{name} cannot represent "), given.cast("string"), F.lit(f": {why}"))))
+    return Coerced(F.when(~bad, value), F.when(bad, message))
 
 
 def nullish(c: Column, kind: str) -> Column:
@@ -43,32 +62,34 @@ def to_int(c: Column, kind: str) -> Coerced:
     if kind in ("tinyint", "smallint", "int", "boolean"):
         return Coerced(c.cast("int"))
     if kind == "bigint":
-        return _checked(c.try_cast("int"), c.between(INT_MIN, INT_MAX), c, "Int", "not a 32-bit signed integer")
+        why = F.when(c > INT_MAX, F.lit(TOO_LARGE)).otherwise(F.lit(TOO_SMALL))
+        return _checked(c.try_cast("int"), c.between(INT_MIN, INT_MAX), c, _refused("Int", c, kind, why))
     if kind in ("float", "double"):
         c = nullish(c, kind)
-        return _checked(F.when(c.between(INT_MIN, INT_MAX), c).cast("long").cast("int"), (c == F.floor(c)) & c.between(INT_MIN, INT_MAX), c, "Int", "not an integer")
-    return _checked(F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast("int")), c.rlike("^[+-]?[0-9]+$") & c.try_cast("int").isNotNull(), c, "Int", "not an integer")
+        return _checked(F.when(c.between(INT_MIN, INT_MAX), c).cast("long").cast("int"), (c == F.floor(c)) & c.between(INT_MIN, INT_MAX), c, _refused("Int", c, kind, NON_INTEGER))
+    return _checked(F.when(c.rlike(INTEGER), c.try_cast("int")), c.rlike(INTEGER) & c.try_cast("int").isNotNull(), c, _refused("Int", c, kind, NON_INTEGER))
 
 
 def to_float(c: Column, kind: str) -> Coerced:
-    """Finite doubles; 64-bit integers that a double doesn't hold exactly are refused."""
+    """Finite doubles, decimal text; 64-bit integers that a double doesn't hold exactly are refused."""
     if kind in ("float", "double"):
         d = nullish(c, kind).cast("double")
-        return _checked(d, F.abs(d) < F.lit(math.inf), d, "Float", "not a finite number")
+        return _checked(d, F.abs(d) < F.lit(math.inf), d, _refused("Float", d, "double", NON_NUMERIC))
     if kind == "bigint":
-        return _checked(c.cast("double"), c.cast("double").cast("decimal(38,0)") == c.cast("decimal(38,0)"), c, "Float", "not exactly representable")
+        return _checked(c.cast("double"), c.cast("double").cast("decimal(38,0)") == c.cast("decimal(38,0)"), c, _refused("Float", c, kind, INEXACT))
     if kind == "string":
-        d = c.try_cast("double")
-        return _checked(d, d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(math.inf)), c, "Float", "not a number")
+        d = F.when(c.rlike(DECIMAL), c.try_cast("double"))
+        # Text of no number is shown as what it names; all else as it is.
+        named = F.when(c.rlike(r"(?i)^[+]?inf(inity)?$"), F.lit("+Inf")).when(c.rlike(r"(?i)^-inf(inity)?$"), F.lit("-Inf")).when(c.rlike("(?i)^nan$"), F.lit("NaN"))
+        message = F.concat(F.lit("Float cannot represent "), F.coalesce(named, quoted(c)), F.lit(f": {NON_NUMERIC}"))
+        return _checked(d, F.abs(d) < F.lit(math.inf), c, message)
     return Coerced(c.cast("int").cast("double") if kind == "boolean" else c.cast("double"))
 
 
 def to_string(c: Column, kind: str) -> Coerced:
-    """Text; whole numbers in doubles without a fraction."""
+    """Text; doubles by their shortest digits, with an exponent from 1e6 on and below 1e-4."""
     if kind in ("float", "double"):
-        c = nullish(c, kind)
-        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
-        return Coerced(F.when(whole, F.when(whole, c).cast("long").cast("string")).otherwise(c.cast("string")))
+        return Coerced(shown(nullish(c, kind).cast("double")))
     return Coerced(c.cast("string"))
 
 
@@ -112,10 +133,13 @@ class Enum:
         name = F.lit(None).cast("string")
         for n, v in self.values.items():
             name = F.when(c == F.lit(v), F.lit(n)).otherwise(name)
-        return _checked(name, name.isNotNull(), c, self.name, "no such value")
+        return _checked(name, name.isNotNull(), c, self._unknown(c))
 
     def by_name(self, c: Column, kind: str) -> Coerced:
-        return _checked(c, c.isin(list(self.values)), c, self.name, "no such name")
+        return _checked(c, c.isin(list(self.values)), c, self._unknown(c))
+
+    def _unknown(self, c: Column) -> Column:
+        return F.concat(F.lit(f'Expected a value of type "{self.name}" but received: '), c.cast("string"))
 
     def parse(self, value: Any) -> Any:
         if value is None:

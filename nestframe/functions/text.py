@@ -27,10 +27,46 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z])([A-Z][a-z])", "$1_$2"))
 
 
+def _decimal(value: Column) -> tuple[Column, Column, Column]:
+    """A finite double's sign, shortest digits (without zeros at either end; 0 is ``0``), and the power of ten of the first digit."""
+    form = r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$"
+    part = lambda i: F.regexp_extract(value.cast("string"), form, i)
+    whole, fraction = part(2), part(3)
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+|0+$", "")
+    power = F.when(whole != "0", F.length(whole) - 1).otherwise(-1 - F.length(F.regexp_extract(fraction, "^0*", 0)))
+    return part(1), F.when(digits == "", F.lit("0")).otherwise(digits), F.when(value == 0, F.lit(0)).otherwise(power + F.coalesce(part(4).try_cast("int"), F.lit(0)))
+
+
+def _plain(digits: Column, power: Column) -> Column:
+    whole = F.when(power < 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0"))
+    fraction = F.when(power < 0, F.concat(F.lpad(F.lit(""), -power - 1, "0"), digits)).otherwise(F.substring(digits, power + 2, F.length(digits)))
+    return F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
+
+
+def _scientific(digits: Column, power: Column, width: int) -> Column:
+    """With an exponent that has a sign and ``width`` digits at least."""
+    size = F.abs(power).cast("string")
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(F.lit(""))
+    exponent = F.when(F.length(size) < width, F.lpad(size, width, "0")).otherwise(size)
+    return F.concat(F.substring(digits, 1, 1), fraction, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), exponent)
+
+
 def number(value: Column) -> Column:
-    """A double as JSON: without a fraction where it is whole, with an exponent below 1e-6 and from 1e21 on; null where it isn't finite."""
+    """A double as JSON: with an exponent below 1e-6 and from 1e21 on, plain digits else; null where it isn't finite."""
+    sign, digits, power = _decimal(value)
+    large = (F.abs(value) < F.lit(1e-6)) & (value != 0) | (F.abs(value) >= F.lit(1e21))
     finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
-    small = (F.abs(value) < F.lit(1e-6)) & (value != 0)
-    plain = F.when(whole, F.when(whole, value).cast("long").cast("string")).when(small | (F.abs(value) >= F.lit(1e21)), F.lower(F.regexp_replace(value.cast("string"), r"\.0E", "E"))).otherwise(F.when(F.abs(value) < F.lit(1e-3), F.regexp_replace(F.format_number(value, 17), "0+$", "")).otherwise(value.cast("string")))
-    return F.when(finite, plain)
+    return F.when(finite, F.concat(sign, F.when(large, _scientific(digits, power, 1)).otherwise(_plain(digits, power))))
+
+
+def shown(value: Column) -> Column:
+    """A double as text in messages and strings: with an exponent (of two digits at least) below 1e-4 and from 1e6 on, plain digits else."""
+    sign, digits, power = _decimal(value)
+    finite = F.concat(sign, F.when((power < -4) | (power >= 6), _scientific(digits, power, 2)).otherwise(_plain(digits, power)))
+    return F.when(F.isnan(value), F.lit("NaN")).when(value == F.lit(float("inf")), F.lit("+Inf")).when(value == F.lit(float("-inf")), F.lit("-Inf")).otherwise(finite)
+
+
+def quoted(value: Column) -> Column:
+    """Text as a JSON string."""
+    whole = F.to_json(F.struct(value.alias("s")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)

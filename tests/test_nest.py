@@ -109,5 +109,7 @@ def test_text(spark):
     row = lambda c, v: spark.createDataFrame([(v,)], "v string" if isinstance(v, str) else "v double").select(c(F.col("v"))).first()[0]
     assert row(text.html_safe, "<a>&\u2028 b") == "\\u003ca\\u003e\\u0026\\u2028 b"
     assert row(text.camel_case, "foo_bar") == "FooBar" and row(text.snake_case, "FooBARBaz") == "foo_bar_baz"
-    assert [row(text.number, v) for v in (1.0, 0.5, 1e-7, 1e21, 0.0001, -2.25)] == ["1", "0.5", "1e-7", "1e21", "0.0001", "-2.25"]
+    assert [row(text.number, v) for v in (1.0, 0.5, 1e-7, 1e21, 0.0001, -2.25)] == ["1", "0.5", "1e-7", "1e+21", "0.0001", "-2.25"]
+    assert [row(text.number, v) for v in (12345678.5, 1e15, 3e20, 1.5e-7, 1e-6, -0.0)] == ["12345678.5", "1000000000000000", "300000000000000000000", "1.5e-7", "0.000001", "-0"]
     assert row(text.number, float("inf")) is None
+    assert [row(text.shown, v) for v in (1e5, 123456789.0, 1e-5, 1e100, -1.1, float("-inf"))] == ["100000", "1.23456789e+08", "1e-05", "1e+100", "-1.1", "-Inf"]
