@@ -23,11 +23,12 @@ from nestframe.plans.suggest import did_you_mean
 
 @dataclass(frozen=True)
 class Arg:
-    """An argument: its parser, and its default where it isn't given."""
+    """An argument: its parser, its default where it isn't given, and its type as it is written."""
 
     parse: Parser
     default: Any = UNSET
     required: bool = False
+    type: str = "String"
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,7 @@ class ObjectType:
     fields: Mapping[str, Field | Edge]
     interfaces: Sequence[str] = ()
     key: str = ""  # the column that tells its rows apart, for ordered lookups
+    description: str | None = None
 
 
 @dataclass(frozen=True)
@@ -173,18 +175,41 @@ class SelectionError(ValueError):
     """A selection that the schema doesn't allow."""
 
 
+@dataclass(frozen=True)
+class Directive:
+    """A directive's places and its arguments' types and defaults."""
+
+    name: str
+    locations: Sequence[str]
+    args: Mapping[str, tuple[str, Any]] = field(default_factory=dict)
+    description: str | None = None
+
+
+#: The directives that every schema has.
+STANDARD = (
+    Directive("skip", ("FIELD", "FRAGMENT_SPREAD", "INLINE_FRAGMENT"), {"if": ("Boolean!", UNSET)}, "Directs the executor to skip this field or fragment when the `if` argument is true."),
+    Directive("include", ("FIELD", "FRAGMENT_SPREAD", "INLINE_FRAGMENT"), {"if": ("Boolean!", UNSET)}, "Directs the executor to include this field or fragment only when the `if` argument is true."),
+    Directive("deprecated", ("FIELD_DEFINITION", "ENUM_VALUE"), {"reason": ("String", "No longer supported")}, "Marks an element of a GraphQL schema as no longer supported."),
+)
+
+
 @dataclass
 class Schema:
+    """Types by name; input objects' fields as (type, default); directives; root types by the kind of operation."""
+
     types: dict[str, ObjectType | AbstractType]
+    inputs: Mapping[str, Mapping[str, tuple[str, Any]]] = field(default_factory=dict)
+    directives: Sequence[Directive] = STANDARD
+    roots: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, *types: ObjectType | AbstractType) -> Schema:
+    def of(cls, *types: ObjectType | AbstractType, **more: Any) -> Schema:
         named: dict[str, ObjectType | AbstractType] = {}
         for t in types:
             if t.name in named:
                 raise SelectionError(f"Schema must contain unique named types but contains multiple types named {t.name!r}")
             named[t.name] = t
-        return cls(named)
+        return cls(named, **more)
 
     def possible(self, name: str) -> set[str]:
         """The object types that a type's value can be."""

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.functions import coerce as C
 from nestframe.functions import text
 from nestframe.operators import nulls
-from nestframe.operators.batch import Lookup
-from nestframe.operators.nest import Pick, Selector, Spread, Variable, pick, spread
+from nestframe.operators.batch import Lookup, in_batches
+from nestframe.operators.nest import Arg, ByName, Field, ObjectType, Pick, Schema, Selector, Spread, Variable, operation, pick, spread
+from nestframe.operators.write import Versions, Write, mutate, read_lines, write_lines
 from nestframe.plans import catalog, log_checks
 from nestframe.sources.tables import FLAG, STATUS, schema
+from nestframe.storage import new_path
 from nestframe.streaming.subscribe import subscribe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +103,7 @@ rows("float_coerce", "Part", pick("id"), pick("price"), sql="SELECT p_partkey::V
 rows("id_coerce", "Supplier", pick("id"), sql="SELECT s_suppkey::VARCHAR AS id FROM supplier")
 
 
-@add("int_overflow_null", "SELECT event_id, CASE WHEN event_id * 3000000 BETWEEN -2147483648 AND 2147483647 THEN (event_id * 3000000)::INT END AS value, CASE WHEN NOT event_id * 3000000 BETWEEN -2147483648 AND 2147483647 THEN 'Int cannot represent ' || (event_id * 3000000) || ': not a 32-bit signed integer' END AS message FROM events")
+@add("int_overflow_null", "SELECT event_id, CASE WHEN event_id * 3000000 BETWEEN -2147483648 AND 2147483647 THEN (event_id * 3000000)::INT END AS value, CASE WHEN NOT event_id * 3000000 BETWEEN -2147483648 AND 2147483647 THEN 'Int cannot represent ' || (event_id * 3000000) || ': value too ' || CASE WHEN event_id > 0 THEN 'large' ELSE 'small' END || ' for 32-bit signed integer' END AS message FROM events")
 def int_overflow_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.to_int(F.col("event_id") * 3_000_000, "bigint")
     return read(spark, sf_dir, "events").select("event_id", c.value.alias("value"), c.message.alias("message"))
@@ -139,12 +143,13 @@ def scalar_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Nulls, lists and maps.
+REFUSED = "'PositiveInt cannot represent ' || (p_size - 10) || ': not positive'"
+
+
 @add("non_null_bubble", "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name END AS name FROM part")
 def non_null_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part object whose non-null size is refused is null as a whole."""
-    size = C.positive_int(F.col("p_size") - 10, "int").value
-    item = F.when(size.isNotNull(), F.struct(F.col("p_name").alias("name"), size.alias("size")))
-    return read(spark, sf_dir, "part").select("p_partkey", item["name"].alias("name"))
+    return Selector(schema(spark, sf_dir)).results("StrictPart", pick("name"), pick("size"), keep=("p_partkey",)).select("p_partkey", "data.name")
 
 
 def _sizes(spark: SparkSession, sf_dir: str, non_null: bool) -> DataFrame:
@@ -176,16 +181,14 @@ def map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.array_join(F.sort_array(F.map_keys(parsed)), ",").alias("keys"))
 
 
-@add("field_errors", "SELECT p_partkey, CASE WHEN p_size > 10 THEN '{\"data\":{\"size\":' || (p_size - 10) || '}}' ELSE '{\"errors\":[{\"message\":\"PositiveInt cannot represent ' || (p_size - 10) || ': not positive\",\"path\":[\"size\"]}],\"data\":{\"size\":null}}' END AS result FROM part")
+@add("field_errors", f"SELECT p_partkey, CASE WHEN p_size > 10 THEN '{{\"data\":{{\"loose\":' || (p_size - 10) || '}}}}' ELSE '{{\"errors\":[{{\"message\":\"' || {REFUSED} || '\",\"path\":[\"loose\"]}}],\"data\":{{\"loose\":null}}}}' END AS result FROM part")
 def field_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.positive_int(F.col("p_size") - 10, "int")
-    return read(spark, sf_dir, "part").select("p_partkey", nulls.envelope(F.struct(c.value.alias("size")), nulls.error(c, "size")).alias("result"))
+    return Selector(schema(spark, sf_dir)).json("StrictPart", pick("loose"), keep=("p_partkey",))
 
 
 @add("json_envelope", "SELECT c_custkey, '{\"data\":{\"name\":\"' || c_name || '\",\"nation\":' || CASE WHEN n_name IS NULL THEN 'null' ELSE '{\"name\":\"' || n_name || '\"}' END || '}}' AS result FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Selector(schema(spark, sf_dir)).rows("Customer", pick("id"), pick("name"), pick("nation", pick("name")))
-    return out.select(F.col("id").cast("long").alias("c_custkey"), nulls.envelope(F.struct("name", "nation")).alias("result"))
+    return Selector(schema(spark, sf_dir)).json("Customer", pick("name"), pick("nation", pick("name")), keep=("c_custkey",))
 
 
 # Batched lookups.
@@ -203,10 +206,134 @@ def batch_cache_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.many(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))).select("o_orderkey", "found.c_name")
 
 
+@add("batch_max_size", "SELECT c_custkey AS key, c_custkey * 2 AS twice, true AS small FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def batch_max_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loader that is called with up to seven keys at a time."""
+    load = in_batches(lambda keys: pd.DataFrame({"key": keys, "twice": keys * 2, "small": len(keys) <= 7}), "key", "key long, twice long, small boolean", 7)
+    return Lookup(load, "key").get(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")))
+
+
+@add("batch_errors", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 OR o_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name, CASE WHEN o_custkey % 7 = 0 THEN 'must specify key to identify data to be loaded' WHEN o_custkey % 5 = 0 THEN 'no customer ' || o_custkey END AS error FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are null, and keys for which an error is primed."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    lookup = Lookup(lambda keys: customers.join(keys, "key", "left_semi"), "key")
+    lookup.prime_error(customers.filter("key % 5 = 0").select("key", F.concat(F.lit("no customer "), "key").alias("message")))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("key"))
+    return lookup.many(orders, error="error").select("o_orderkey", "found.c_name", "error")
+
+
+@add("batch_custom_key", "SELECT o_orderkey, min(c.c_custkey) OVER (PARTITION BY o_custkey % 10) AS loaded FROM orders JOIN customer c ON o_custkey = c_custkey")
+def batch_custom_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are one if their last digits are: the smallest is loaded for all."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("loaded"))
+    lookup = Lookup(lambda keys: customers.join(keys, "key", "left_semi"), "key", lambda c: c % 10)
+    orders = read(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("key"), "left_semi").select("o_orderkey", F.col("o_custkey").alias("key"))
+    return lookup.many(orders).select("o_orderkey", "found.loaded")
+
+
+# Abstract types and embedded values within objects.
+rows("pets_union", "Country", pick("name"), pick("parties", pick("__typename"), spread(pick("id"), pick("segment"), on="Customer"), spread(pick("id"), on="Supplier")), flat={"name": "name", "parties": "array_join(transform(parties, x -> concat_ws(':', x.__typename, x.id, x.segment)), ',')"}, sql="SELECT n_name AS name, coalesce((SELECT string_agg(t || ':' || k || coalesce(':' || s, ''), ',' ORDER BY k, (t || ':' || k || coalesce(':' || s, ''))) FROM (SELECT 'Customer' AS t, c_custkey AS k, c_mktsegment AS s, c_nationkey AS n FROM customer UNION ALL SELECT 'Supplier', s_suppkey, NULL, s_nationkey FROM supplier) p WHERE p.n = n_nationkey), '') AS parties FROM nation")
+rows("friends_interface", "Country", pick("name"), pick("parties", spread(pick("__typename"), pick("name"), on="Named"), spread(pick("balance"), on="Supplier")), flat={"name": "name", "n": "size(parties)", "n_suppliers": "size(filter(parties, x -> x.__typename = 'Supplier'))", "balances": "round(aggregate(parties, 0D, (a, x) -> a + coalesce(x.balance, 0D)), 2)"}, sql="SELECT n_name AS name, ((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey))::INT AS n, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::INT AS n_suppliers, round(coalesce((SELECT sum(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey), 0), 2) AS balances FROM nation")
+rows("resolved_rows", "Activity", pick("__typename"), pick("id"), spread(pick("user"), on="Click"), spread(pick("amount"), on="Purchase"), flat={"type_name": "__typename", "id": "id", "user": "user", "amount": "amount"}, sql="SELECT CASE event_type WHEN 'click' THEN 'Click' ELSE 'Purchase' END AS type_name, event_id::VARCHAR AS id, CASE event_type WHEN 'click' THEN user_id::VARCHAR END AS user, CASE event_type WHEN 'purchase' THEN value END AS amount FROM events WHERE event_type IN ('click', 'purchase')")
+rows("embedded_struct", "Basket", pick("id"), pick("first", pick("part"), pick("quantity", alias="q")), flat={"id": "id", "part": "first.part", "q": "first.q"}, sql="SELECT l_orderkey::VARCHAR AS id, x.l_partkey::VARCHAR AS part, x.l_quantity AS q FROM (SELECT l_orderkey, min(struct_pack(l_linenumber, l_partkey, l_quantity)) AS x FROM lineitem GROUP BY l_orderkey)")
+LINE_SQL = "CASE l_returnflag WHEN 'R' THEN 'ReturnedLine:' || l_partkey || ':true' WHEN 'N' THEN 'KeptLine:' || l_partkey ELSE 'null' END"
+rows("embedded_list", "Basket", pick("id"), pick("lines", pick("__typename"), pick("part"), spread(pick("returned"), on="ReturnedLine")), flat={"id": "id", "lines": "array_join(transform(lines, x -> if(x IS NULL, 'null', concat_ws(':', x.__typename, x.part, x.returned))), ',')"}, sql=f"SELECT l_orderkey::VARCHAR AS id, string_agg({LINE_SQL}, ',' ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey")
+PAIRS_SQL = "SELECT l_orderkey, (row_number() OVER w - 1) // 2 AS pair, (row_number() OVER w - 1) % 2 AS place, l_quantity::INT - 3 AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag)"
+
+
+@add("embedded_nested_lists", f"SELECT l_orderkey, string_agg(CASE WHEN least < 1 THEN 'null' ELSE items END, '|' ORDER BY pair) AS strict, coalesce(string_agg(failed, ';' ORDER BY pair), '') AS paths FROM (SELECT l_orderkey, pair, min(q) AS least, string_agg(q::VARCHAR, ',' ORDER BY place) AS items, 'strict,' || pair || ',' || min(place) FILTER (q < 1) AS failed FROM ({PAIRS_SQL}) GROUP BY l_orderkey, pair) GROUP BY l_orderkey")
+def embedded_nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of lists whose items may not be null: an inner list with a refused item is null, and its first refused item has an error."""
+    out = Selector(schema(spark, sf_dir)).results("Basket", pick("strict"), keep=("l_orderkey",))
+    lists = F.array_join(F.transform("data.strict", lambda x: F.coalesce(F.array_join(x, ","), F.lit("null"))), "|")
+    return out.select("l_orderkey", lists.alias("strict"), F.array_join(F.transform("errors", lambda e: F.array_join(e["path"], ",")), ";").alias("paths"))
+
+
+@add("edge_errors", "SELECT p_brand, count(*)::INT AS n, count(*) FILTER (p_size <= 10)::INT AS n_null, count(*) FILTER (p_size <= 10)::INT AS n_errors FROM part GROUP BY p_brand")
+def edge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of objects of which some are null, each with its error."""
+    out = Selector(schema(spark, sf_dir)).results("Brand", pick("parts", pick("size")), keep=("p_brand",))
+    return out.select("p_brand", F.size("data.parts").alias("n"), F.size(F.filter("data.parts", lambda x: x.isNull())).alias("n_null"), F.size("errors").alias("n_errors"))
+
+
+@add("edge_bubble", "SELECT p_brand, min(p_size) <= 10 AS is_null, CASE WHEN min(p_size) <= 10 THEN 'sure.' || ((min(r) FILTER (p_size <= 10)) - 1) || '.size' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) GROUP BY p_brand")
+def edge_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list whose objects may not be null: null as a whole, with the error of the first that is refused."""
+    out = Selector(schema(spark, sf_dir)).results("Brand", pick("sure", pick("size")), keep=("p_brand",))
+    return out.select("p_brand", F.col("data.sure").isNull().alias("is_null"), F.array_join(F.get("errors", F.lit(0))["path"], ".").alias("path"))
+
+
+# Numbers as text.
+NUMBERS = ("1", "0.5", "12345678.5", "1000000000000000", "300000000000000000000", "1e21", "0.0000001", "0.000001", "-2.25", "0")
+NUMBER_SQL = "SELECT event_id, [{}][(event_id % 10)::INT + 1] AS text FROM events"
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text, one for each event in turn."""
+    return read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, NUMBERS)), (F.col("event_id") % 10 + 1).cast("int")).alias("text"))
+
+
+@add("json_number", NUMBER_SQL.format("'1', '0.5', '12345678.5', '1000000000000000', '300000000000000000000', '1e+21', '1e-7', '0.000001', '-2.25', '0'"))
+def json_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(spark, sf_dir).select("event_id", text.number(F.col("text").cast("double")).alias("text"))
+
+
+@add("float_to_string", NUMBER_SQL.format("'1', '0.5', '1.23456785e+07', '1e+15', '3e+20', '1e+21', '1e-07', '1e-06', '-2.25', '0'"))
+def float_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(spark, sf_dir).select("event_id", C.to_string(F.col("text").cast("double"), "double").value.alias("text"))
+
+
+@add("float_from_text", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id + 0.5::DOUBLE END AS value, CASE event_id % 3 WHEN 1 THEN 'Float cannot represent \"' || event_id || 'd\": not a numeric value' WHEN 2 THEN 'Float cannot represent \" ' || event_id || '\": not a numeric value' END AS message FROM events")
+def float_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with a suffix or a space is no number."""
+    given = F.when(F.col("event_id") % 3 == 0, F.concat("event_id", F.lit(".5"))).when(F.col("event_id") % 3 == 1, F.concat("event_id", F.lit("d"))).otherwise(F.concat(F.lit(" "), F.col("event_id")))
+    c = C.to_float(given, "string")
+    return read(spark, sf_dir, "events").select("event_id", c.value.alias("value"), c.message.alias("message"))
+
+
+@add("int_from_float", "SELECT event_id, CASE WHEN value = floor(value) THEN value::INT END AS value, CASE WHEN value <> floor(value) THEN 'Int cannot represent ' || value || ': not an integer' END AS message FROM events")
+def int_from_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = C.to_int(F.col("value"), "double")
+    return read(spark, sf_dir, "events").select("event_id", c.value.alias("value"), c.message.alias("message"))
+
+
 # Introspection.
-@add("introspect_types", "SELECT * FROM (VALUES ('UNION', 'Party'), ('INTERFACE', 'Named')) t(kind, name)")
+@add("introspect_types", "SELECT * FROM (VALUES ('UNION', 'Party'), ('UNION', 'Activity'), ('UNION', 'BasketLine'), ('INTERFACE', 'Named'), ('INPUT_OBJECT', 'OrderFilter'), ('ENUM', 'OrderStatus'), ('ENUM', 'Flag')) t(kind, name)")
 def introspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.types(spark, schema(spark, sf_dir), (STATUS, FLAG)).filter(F.col("kind").isin("UNION", "INTERFACE"))
+    return catalog.types(spark, schema(spark, sf_dir), (STATUS, FLAG)).filter(~F.col("kind").isin("SCALAR", "OBJECT")).select("kind", "name")
+
+
+@add("introspect_arguments", "SELECT * FROM (VALUES ('status', 'OrderStatus', NULL), ('priorities', '[String]', NULL), ('filter', 'OrderFilter', NULL), ('minTotal', 'Float', '0.0')) t(name, type, default_value)")
+def introspect_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.arguments(spark, schema(spark, sf_dir)).filter("type_name = 'Customer' AND field = 'orders'").select("name", "type", "default_value")
+
+
+@add("introspect_input_fields", "SELECT * FROM (VALUES ('minTotal', 'Float'), ('status', 'OrderStatus'), ('priorities', '[String]')) t(name, type)")
+def introspect_input_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.input_fields(spark, schema(spark, sf_dir)).filter("type_name = 'OrderFilter'").select("name", "type")
+
+
+@add("introspect_directives", "SELECT * FROM (VALUES ('skip', 'if', 'Boolean!', NULL, 3), ('include', 'if', 'Boolean!', NULL, 3), ('deprecated', 'reason', 'String', 'No longer supported', 2)) t(directive, name, type, default_value, places)")
+def introspect_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = schema(spark, sf_dir)
+    places = catalog.directives(spark, s).groupBy(F.col("name").alias("directive")).agg(F.count("*").cast("int").alias("places"))
+    return catalog.directive_arguments(spark, s).join(places, "directive")
+
+
+@add("introspect_roots", "SELECT * FROM (VALUES ('query', 'Customer'), ('mutation', NULL), ('subscription', NULL)) t(operation, type_name)")
+def introspect_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.roots(spark, schema(spark, sf_dir))
+
+
+@add("introspect_type_layers", "SELECT * FROM (VALUES ('strict', 0, 'LIST', NULL), ('strict', 1, 'LIST', NULL), ('strict', 2, 'NON_NULL', NULL), ('strict', 3, 'SCALAR', 'PositiveInt'), ('id', 0, 'NON_NULL', NULL), ('id', 1, 'SCALAR', 'ID'), ('lines', 0, 'LIST', NULL), ('lines', 1, 'UNION', 'BasketLine')) t(field, depth, kind, name)")
+def introspect_type_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.type_layers(spark, schema(spark, sf_dir)).filter("type_name = 'Basket' AND field IN ('strict', 'id', 'lines')").drop("type_name")
+
+
+@add("introspect_interfaces", "SELECT * FROM (VALUES ('Region', 'Named'), ('Nation', 'Named'), ('Customer', 'Named'), ('Supplier', 'Named'), ('Part', 'Named'), ('Country', 'Named')) t(type_name, interface)")
+def introspect_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.interfaces(spark, schema(spark, sf_dir))
 
 
 @add("introspect_fields", "SELECT * FROM (VALUES ('id', 'ID'), ('name', 'String'), ('region', 'Region')) t(name, of_type)")
@@ -220,31 +347,62 @@ def introspect_deprecated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Operations.
-rows("mutation_serial", "Supplier", pick("id"), pick("name"), sql="SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier")
+@add("mutation_serial", "SELECT s_suppkey::VARCHAR AS id, s_acctbal + 10 AS first, CASE WHEN s_suppkey % 2 = 0 THEN (s_acctbal + 10) * 2 ELSE s_acctbal + 10 END AS second FROM supplier")
+def mutation_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two root fields that write a copy of the suppliers, one after the other, and what each selects when it is done."""
+    suppliers = Versions(read(spark, sf_dir, "supplier"), "suppliers")
+    s = schema(spark, sf_dir)
+    own = Schema({**s.types, "Supplier": replace(s.types["Supplier"], table=suppliers)})
+    writes = {
+        "add": Write("Supplier", lambda args: suppliers.write(lambda df: df.withColumn("s_acctbal", F.col("s_acctbal") + args["amount"])), args={"amount": Arg(C.parse_float, required=True)}),
+        "double": Write("Supplier", lambda args: suppliers.write(lambda df: df.withColumn("s_acctbal", F.when(F.col("s_suppkey") % args["every"] == 0, F.col("s_acctbal") * 2).otherwise(F.col("s_acctbal")))), args={"every": Arg(C.parse_int, default=2)}),
+    }
+    done = mutate(own, writes, pick("add", pick("id"), pick("balance"), amount=10, alias="first"), pick("double", pick("id"), pick("balance"), alias="second"))
+    return done["first"].withColumnRenamed("balance", "first").join(done["second"].withColumnRenamed("balance", "second"), "id")
+
+
+@add("json_lines", "SELECT '{\"data\":{\"name\":\"' || r_name || '\"}}' AS result FROM region")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as lines of JSON, and read again."""
+    path = new_path(spark, "results")
+    write_lines(Selector(schema(spark, sf_dir)).json("Region", pick("name")), path)
+    return read_lines(spark, path)
+
+
+@add("operation_by_name", "SELECT r_name AS name FROM region")
+def operation_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operation of its name among several of a document."""
+    document = {"Nations": ("Nation", pick("name")), "Regions": ("Region", pick("name"))}
+    return Selector(schema(spark, sf_dir)).rows(*operation(document, "Regions"))
+
+
+@add("default_resolver", "SELECT c_custkey AS custkey, c_mktsegment AS mktsegment, upper(c_name) AS loud FROM customer")
+def default_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields without a source, by the names of their columns; one looks at what is selected beside its arguments."""
+    fields = {"custkey": Field(), "mktsegment": Field(), "loud": Field(lambda info: F.upper(info.column("c_name")) if info.path == ("loud",) else F.lit(None))}
+    plain = Schema.of(ObjectType("Customer", lambda: read(spark, sf_dir, "customer"), fields, (), "c_custkey"))
+    return Selector(plain, default=ByName(prefix="c_")).rows("Customer", pick("custkey"), pick("mktsegment"), pick("loud"))
 
 
 @add("column_resolver", "SELECT c_custkey::VARCHAR AS id, upper(c_mktsegment) AS loud FROM customer")
 def column_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field whose resolver is an expression."""
-    from nestframe.operators.nest import Field, ObjectType, Schema
-
     s = schema(spark, sf_dir)
     t = s.types["Customer"]
     loud = ObjectType("Customer", t.table, {**t.fields, "loud": Field(lambda args: F.upper("c_mktsegment"))}, t.interfaces, t.key)
     return Selector(Schema({**s.types, "Customer": loud})).rows("Customer", pick("id"), pick("loud"))
 
 
-@add("subscription_stream")
+@add("subscription_stream", "SELECT n_name AS nation_name, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def subscription_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A selection over the customers read as a stream, run until all that is there is read; rows by segment."""
-    import uuid
-
+    """A selection over the customers read as a stream, run until all that is there is read; rows by nation, in a table that each batch writes anew."""
     source = read(spark, sf_dir, "customer")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/customer*.parquet")
-    name = f"nest_{uuid.uuid4().hex}"
-    started = subscribe(schema(spark, sf_dir), "Customer", stream, pick("id"), pick("name"), pick("nation", pick("name"))).groupBy("nation.name").count().writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name).withColumnsRenamed({"name": "nation_name", "count": "n"})
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/customer.parque[t]")
+    path = new_path(spark, "subscription")
+    counted = subscribe(schema(spark, sf_dir), "Customer", stream, pick("id"), pick("nation", pick("name"))).groupBy(F.col("nation.name").alias("nation_name")).agg(F.count("*").alias("n"))
+    out = counted.writeStream.outputMode("complete").option("checkpointLocation", new_path(spark, "progress")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(path)
 
 
 # Checks of an operation log, derived from the events: a document for each user, a field for each event.
@@ -358,8 +516,6 @@ def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("pandas_resolver", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS name_length FROM customer")
 def pandas_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field whose resolver is a function over batches of values."""
-    from nestframe.operators.nest import Field, ObjectType, Schema
-
     lengths = F.pandas_udf(lambda names: names.str.len(), "long")
     s = schema(spark, sf_dir)
     t = s.types["Customer"]
@@ -367,12 +523,11 @@ def pandas_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Selector(Schema({**s.types, "Customer": longer})).rows("Customer", pick("id"), pick("name_length"))
 
 
-@add("error_list", "SELECT p_partkey, unnest(CASE WHEN p_size <= 10 THEN ['PositiveInt cannot represent ' || (p_size - 10) || ': not positive', 'Cannot return null for non-nullable field Part.size.'] ELSE [] END) AS message FROM part")
+@add("error_list", f"SELECT p_partkey, {REFUSED} AS message, p_size AS size FROM part WHERE p_size <= 10")
 def error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A refused value in a non-null field: its own error, and that of the null."""
-    c = C.positive_int(F.col("p_size") - 10, "int")
-    errors = F.concat(nulls.error(c, "size"), nulls.missing(c.value, "Part", "size", "size"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(errors).alias("e")).select("p_partkey", "e.message")
+    """A refused value in a non-null field has its own error, not that of a null."""
+    out = Selector(schema(spark, sf_dir)).results("StrictPart", pick("size"), keep=("p_partkey", "p_size"))
+    return out.select("p_partkey", F.explode("errors.message").alias("message"), F.col("p_size").alias("size"))
 
 
 @add("html_safe_json", "SELECT page_id, replace(replace(replace(url, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS url, length(replace(html, '<', '\\u003c')) - length(html) AS grown FROM pages")

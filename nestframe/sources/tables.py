@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.functions import coerce as C
+from nestframe.operators.complete import Leaf, ListOf, NonNull
 from nestframe.operators.nest import AbstractType, Arg, Edge, Field, ObjectType, Schema
 
 STATUS = C.Enum("OrderStatus", {"FULFILLED": "F", "OPEN": "O", "PARTIAL": "P"})
@@ -31,7 +32,8 @@ def orders_where(df: DataFrame, args: dict) -> DataFrame:
     return df
 
 
-ORDER_ARGS = {"status": Arg(STATUS.parse), "priorities": Arg(C.parse_list(C.parse_string)), "filter": Arg(ORDER_FILTER), "minTotal": Arg(C.parse_float, default=0.0)}
+ORDER_ARGS = {"status": Arg(STATUS.parse, type="OrderStatus"), "priorities": Arg(C.parse_list(C.parse_string), type="[String]"), "filter": Arg(ORDER_FILTER, type="OrderFilter"), "minTotal": Arg(C.parse_float, default=0.0, type="Float")}
+INPUTS = {"OrderFilter": {"minTotal": ("Float", C.UNSET), "status": ("OrderStatus", C.UNSET), "priorities": ("[String]", C.UNSET)}}
 
 
 def schema(spark: SparkSession, sf_dir: str) -> Schema:
@@ -46,6 +48,18 @@ def schema(spark: SparkSession, sf_dir: str) -> Schema:
         by = table(spark, sf_dir, "lineitem")().groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
         return by.select(F.col("l_orderkey").alias("order_key"), F.transform("p", lambda x: x["l_partkey"]).alias("part_keys"))
 
+    def positive(c: str, less: int) -> Field:
+        return Field(lambda info: info.column(c).cast("int") - less, of=NonNull(Leaf("PositiveInt", "int", C.positive_int)), type_name="PositiveInt")
+
+    def baskets() -> DataFrame:
+        """Orders that hold their lines as an array of structs, and these's quantities as an array of arrays, two by two."""
+        line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+        by = table(spark, sf_dir, "lineitem")().groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+        pairs = F.transform(F.sequence(F.lit(1), F.size("lines"), F.lit(2)), lambda i: F.transform(F.slice("lines", i, F.lit(2)), lambda x: x["l_quantity"].cast("int") - 3))
+        return by.withColumn("first", F.get("lines", F.lit(0))).withColumn("pairs", pairs)
+
+    small = Leaf("PositiveInt", "int", C.positive_int)
+    held = {"number": Field("l_linenumber", C.to_int, "int", type_name="Int"), "part": Field("l_partkey", C.to_id, "bigint", type_name="ID")}
     return Schema.of(
         ObjectType("Region", t("region"), {"id": Field("r_regionkey", C.to_id, "int", type_name="ID"), "name": text("r_name"), "nations": Edge("Nation", "r_regionkey", "n_regionkey", many=True, order=("n_nationkey",))}, ("Named",), "r_regionkey"),
         ObjectType("Nation", t("nation"), {"id": Field("n_nationkey", C.to_id, "int", type_name="ID"), "name": text("n_name"), "region": Edge("Region", "n_regionkey", "r_regionkey")}, ("Named",), "n_nationkey"),
@@ -55,6 +69,18 @@ def schema(spark: SparkSession, sf_dir: str) -> Schema:
         ObjectType("Order", t("orders"), {"id": ident("o_orderkey"), "status": Field("o_orderstatus", STATUS.by_value, "string", type_name="OrderStatus"), "total": number("o_totalprice"), "date": Field("o_orderdate", C.to_datetime, "timestamp", type_name="DateTime"), "priority": text("o_orderpriority"), "customer": Edge("Customer", "o_custkey", "c_custkey"), "lines": Edge("Line", "o_orderkey", "l_orderkey", many=True, order=("l_linenumber", "l_partkey"))}, (), "o_orderkey"),
         ObjectType("Line", lines, {"id": Field("line_key", C.to_id, "string", type_name="ID"), "number": Field("l_linenumber", C.to_int, "int", type_name="Int"), "quantity": number("l_quantity"), "order": Edge("Order", "l_orderkey", "o_orderkey"), "part": Edge("Part", "l_partkey", "p_partkey"), "supplier": Edge("Supplier", "l_suppkey", "s_suppkey")}, (), "line_key"),
         ObjectType("PartList", part_lists, {"id": ident("order_key"), "parts": Edge("Part", "part_keys", "p_partkey", keys=True)}, (), "order_key"),
+        ObjectType("StrictPart", t("part"), {"id": ident("p_partkey"), "name": text("p_name"), "size": positive("p_size", 10), "loose": Field(lambda info: F.col("p_size") - 10, of=small)}, (), "p_partkey"),
+        ObjectType("Brand", lambda: table(spark, sf_dir, "part")().select("p_brand").distinct(), {"name": text("p_brand"), "parts": Edge("StrictPart", "p_brand", "p_brand", many=True, order=("p_partkey",)), "sure": Edge("StrictPart", "p_brand", "p_brand", many=True, order=("p_partkey",), item_non_null=True)}, (), "p_brand"),
+        ObjectType("ReturnedLine", baskets, {**held, "returned": Field(lambda info: F.lit(True), type_name="Boolean")}),
+        ObjectType("KeptLine", baskets, {**held, "quantity": Field("l_quantity", C.to_float, "double", type_name="Float")}),
+        ObjectType("Basket", baskets, {"id": ident("l_orderkey"), "first": Field("first", of="KeptLine"), "lines": Field("lines", of=ListOf("BasketLine")), "pairs": Field("pairs", of=ListOf(ListOf(small))), "strict": Field("pairs", of=ListOf(ListOf(NonNull(small))))}, (), "l_orderkey"),
+        AbstractType("BasketLine", ("ReturnedLine", "KeptLine"), lambda info: F.when(info.column("l_returnflag") == "R", F.lit("ReturnedLine")).when(info.column("l_returnflag") == "N", F.lit("KeptLine"))),
+        ObjectType("Click", t("events"), {"id": Field("event_id", C.to_id, "bigint", type_name="ID"), "user": Field("user_id", C.to_id, "bigint", type_name="ID")}),
+        ObjectType("Purchase", t("events"), {"id": Field("event_id", C.to_id, "bigint", type_name="ID"), "amount": number("value")}),
+        AbstractType("Activity", ("Click", "Purchase"), lambda info: F.initcap(info.column("event_type")), t("events")),
+        ObjectType("Country", t("nation"), {"name": text("n_name"), "parties": Edge("Party", "n_nationkey", {"Customer": "c_nationkey", "Supplier": "s_nationkey"}, many=True, order={"Customer": ("c_custkey",), "Supplier": ("s_suppkey",)})}, ("Named",), "n_nationkey"),
         AbstractType("Party", ("Customer", "Supplier")),
         AbstractType("Named", ("Region", "Nation", "Customer", "Supplier", "Part")),
+        inputs=INPUTS,
+        roots={"query": "Customer"},
     )
