@@ -142,53 +142,6 @@ def test_pii_base_spans():
         assert pii.base_spans(t) == plain_spans(t), repr(t)
 
 
-def test_pii_decoding_is_best():
-    """Dynamic programming beside all segmentations of small windows."""
-    rng = np.random.default_rng(4)
-    text = "a1@b.co +1 (017) 555-7713 4111111111111111 10.2.3.4"
-
-    def every(lat, at):
-        if at >= len(lat.borders) - 1:
-            yield 0.0
-            return
-        yield from every(lat, at + 1)
-        for s, (i, j) in enumerate(lat.spans):
-            if i == at:
-                for rest in every(lat, j):
-                    yield float(scores[s].max()) + rest
-
-    for a, b in pii.windows(text, []):
-        lat = pii.lattice(text, a, min(b, a + 30))
-        for _ in range(5):
-            weights = rng.normal(size=(pii.SIZE, len(pii.KINDS)))
-            scores = lat.scores(weights)
-            place = {(lat.borders[i], lat.borders[j]): s for s, (i, j) in enumerate(lat.spans)}
-            got = sum(scores[place[s, e], k] for s, e, k in pii.decode(lat, weights))
-            assert got == pytest.approx(max(every(lat, 0)))
-
-
-def test_pii_gradient():
-    """The likelihood's slope beside small steps."""
-    text = "call (017) 555-7713 now"
-    (a, b), *_ = pii.windows(text, [])
-    lat = pii.lattice(text, a, b)
-    gold = {(5, 19, 3)}
-    weights = np.random.default_rng(1).normal(size=(pii.SIZE, len(pii.KINDS))) * 0.1
-
-    def likelihood(w):
-        s, n = lat.scores(w), len(lat.borders) - 1
-        ahead = [0.0] + [-np.inf] * n
-        for j in range(1, n + 1):
-            ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[i] + v for (i, e), row in zip(lat.spans, s, strict=True) if e == j for v in row)])
-        return sum(s[k, g[2]] for g in gold for k, (i, j) in enumerate(lat.spans) if (lat.borders[i], lat.borders[j]) == g[:2]) - ahead[n]
-
-    slope = pii.gradient(lat, gold, weights)
-    for f, k in ((0, 3), (5, 3), (7, 3)):
-        step = np.zeros_like(weights)
-        step[f, k] = 1e-5
-        assert slope[f, k] == pytest.approx((likelihood(weights + step) - likelihood(weights - step)) / 2e-5, abs=1e-4)
-
-
 def test_pii_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in QUERIES["op6_pii"](spark, SMALL).collect():
