@@ -272,7 +272,7 @@ class Pieces:
             plain & (groups > 1) & (shape % 32 == 4) & (most <= 4) & (least >= 3),
             plain & (form == 2),
             plain & (form == 3),
-            plain & (most == 4) & (least == 4) & (spaces == seps) & (seps > 0) & (groups < 4),
+            plain & (most == 4) & (least == 4) & alike & (seps > 0) & (groups < 4),
             date,
             slashes > 0,
             plain & first3 & ((digits == 13) | (digits == 10)),
