@@ -2,9 +2,9 @@
 
 A vector's segments have means and deviations. For two vectors the products of their means (times the
 segment's length) plus the products of their deviations bound the inner product from above, that is, the distance from
-below; more segments bound it closer. Blocks of vectors have ranges of these statistics. A first pass over each query's own
-cell gives a score that its k-th best can't fall below; block pairs, then pairs of vectors at 4 and 16
-segments that can't reach it are passed over, and the rest are computed exactly.
+below; more segments bound it closer. Blocks of near vectors have ranges of these statistics. A first pass over each query's own
+block gives a score that its k-th best can't fall below; a query is sent only to the blocks whose ranges at 4 and 16 segments can
+reach it, pairs of vectors that can't at 4 and 16 segments are passed over there, and the rest are computed exactly.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestframe.llm.common import cut, read
-from nestframe.llm.vectors import BLOCK, QUERY_BLOCK, best, celled, dealt, packed, unpack, usable
+from nestframe.llm.ann import Index, grow
+from nestframe.llm.common import read
+from nestframe.llm.vectors import BLOCK, QUERY_BLOCK, best, blocked, celled, meet, packed, unpack, usable
+from nestframe.storage import Scratch
 
-#: Segments by resolution; cells are the signs of the coarse means.
+#: Segments by resolution.
 COARSE, FINE = 4, 16
-CELL_SEGMENTS = 6
-#: Candidate blocks' summaries are dealt over so many keys when query blocks' summaries meet them.
-SALTS = 64
+#: Blocks' ranges that are looked at together.
+HEADS = 4096
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -38,12 +39,6 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([*(m * np.sqrt(p.shape[1]) for m, p in zip(means, parts, strict=True)), *(np.sqrt(((p - m) ** 2).sum(1, keepdims=True)) for m, p in zip(means, parts, strict=True))]) if parts else np.zeros((len(x), 1))
 
 
-def cell(x: np.ndarray) -> np.ndarray:
-    s = statistics(x, CELL_SEGMENTS)
-    n = s.shape[1] // 2
-    return (s[:, :n] > s[:, :n].mean(1, keepdims=True)) @ (1 << np.arange(n)) if n else np.zeros(len(x), int)
-
-
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products of rows with rows; beyond 64 bits they stay at its ends."""
     largest = (np.abs(q).max(initial=0)) * (np.abs(c).max(initial=0)) * max(1, q.shape[1])
@@ -83,57 +78,56 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, least
                 yield start + i, cid[used[hit]], scores[i, hit]
 
 
-def _summary(df: DataFrame, prefix: str) -> DataFrame:
-    """Adds to packed blocks the ranges of their coarse statistics: {prefix}_low, _high (means), _dev (largest deviations)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lows, highs, devs = [], [], []
-            for r in batch.to_pylist():
-                s = statistics(unpack(r["ids"], r["matrix"], r["dim"])[1], COARSE)
-                n = s.shape[1] // 2
-                lows.append(s[:, :n].min(0))
-                highs.append(s[:, :n].max(0))
-                devs.append(s[:, n:].max(0) if n else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.float64())) for x in (lows, highs, devs))], names=[*batch.schema.names, f"{prefix}_low", f"{prefix}_high", f"{prefix}_dev"])
-
-    fields = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, {prefix}_low array<double>, {prefix}_high array<double>, {prefix}_dev array<double>")
+def ranges(x: np.ndarray) -> list[np.ndarray]:
+    """A block's lowest and highest means and largest deviations by segment, at each resolution."""
+    out = []
+    for segments in (COARSE, FINE):
+        s = statistics(x, segments)
+        n = s.shape[1] // 2
+        out += [s[:, :n].min(0), s[:, :n].max(0), s[:, n:].max(0)]
+    return out
 
 
-def _scan(pairs: DataFrame, k: int) -> DataFrame:
-    """Block pairs (q_ids, q_matrix, least, ids, matrix, dim) to (query_id, vec_id, score)."""
+def heads(blocks: DataFrame, groups: int) -> DataFrame:
+    """dim, head (which group), list (of block and its ranges): all blocks of a dimension in ``groups`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(batch.num_rows):
-                r = batch.slice(start, 1).to_pylist()[0]
-                (qid, q), (cid, c) = unpack(r["q_ids"], r["q_matrix"], r["dim"]), unpack(r["ids"], r["matrix"], r["dim"])
-                least = np.frombuffer(r["least"], np.float64) if r["least"] else np.full(len(qid), -np.inf)
-                found = list(search(qid, q, cid, c, least, k))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v), qid[i]) for i, v, _ in found])), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([s for *_, s in found]))], names=["query_id", "vec_id", "score"])
+            found = [np.concatenate(ranges(unpack(r["ids"], r["matrix"], r["dim"])[1])).tobytes() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("block"), pa.array(found, pa.binary())], names=["dim", "block", "ranges"])
 
-    return pairs.select("dim", "q_ids", "q_matrix", "least", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long")
+    every = blocks.select("dim", "block", "ids", "matrix").mapInArrow(run, "dim int, block int, ranges binary")
+    return every.groupBy("dim", F.pmod("block", F.lit(groups)).alias("head")).agg(F.collect_list(F.struct("block", "ranges")).alias("list"))
 
 
-def _least(blocks: DataFrame, home: DataFrame, k: int) -> DataFrame:
-    """Query blocks with ``least``: each query's k-th best score among the vectors of its home block."""
+def reached(q: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores of queries with blocks, by ``ranges`` in rows; the closest of the resolutions."""
+    out, at = np.full((len(q), len(every)), np.inf), 0
+    for segments in (COARSE, FINE):
+        s = statistics(q, segments)
+        n = s.shape[1] // 2
+        low, high, dev = (every[:, at + k * n : at + (k + 1) * n] for k in range(3))
+        at += 3 * n
+        out = np.minimum(out, np.maximum(s[:, :n], 0) @ high.T + np.minimum(s[:, :n], 0) @ low.T + s[:, n:] @ dev.T)
+    return out
+
+
+def routed(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """dim, block, ids, matrix, extra (scores to reach): the queries of each row that a block may answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                (qid, q), (cid, c) = unpack(r["q_ids"], r["q_matrix"], r["dim"]), unpack(r["ids"], r["matrix"], r["dim"])
-                least = np.full(len(qid), -np.inf)
-                for i, _, scores in search(qid, q, cid, c, least, k):
-                    if len(scores) == k:
-                        least[i] = scores[-1]
-                out.append(least.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("q_cell"), batch.column("q_part"), pa.array(out, pa.binary())], names=["dim", "q_cell", "q_part", "least"])
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                ids, q = unpack(r["ids"], r["matrix"], r["dim"])
+                least = np.frombuffer(r["extra"], np.float64)
+                bound = reached(q, np.array([np.frombuffer(h["ranges"], np.float64) for h in r["list"]]).reshape(len(r["list"]), -1)) if r["dim"] else np.zeros((len(ids), len(r["list"])))
+                use = bound + np.abs(bound) * 1e-9 + 1e-6 >= least[:, None]
+                for h, column in zip(r["list"], use.T, strict=True):
+                    if column.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([h["block"]], pa.int32()), *(pa.array([x[column].tobytes()], pa.binary()) for x in (ids, q, least))], names=["dim", "block", "ids", "matrix", "extra"])
 
-    meet = blocks.join(home.filter("part = 0").select("dim", F.col("cell").alias("q_cell"), "ids", "matrix"), ["dim", "q_cell"])
-    return meet.select("dim", "q_cell", "q_part", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "dim int, q_cell int, q_part int, least binary")
+    return queries.join(lists, ["dim", "head"]).select("dim", "ids", "matrix", "extra", "list").mapInArrow(run, "dim int, block int, ids binary, matrix binary, extra binary")
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -143,33 +137,39 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, block: int = BLOCK, query
     ties go to the smaller vec_id. Rows that share the query's vec_id are its own and never candidates;
     of query rows that repeat a vec_id one is kept; candidate rows that repeat count each. Null ids, null vectors and vectors with
     null or non-finite components take no part; empty vectors score 0 with each other. Scores beyond 64
-    bits stay at its ends. An empty table gives an empty result. Other columns are not looked at.
+    bits stay at its ends. An empty table gives an empty result. Other columns are not looked at. Vectors are dealt into blocks by a
+    tree that is fitted on a bounded sample; that bears on time alone.
     """
-    rows = cut(celled(usable(embeddings), cell, quantised))
+    scratch = Scratch(embeddings.sparkSession)
+    vectors = usable(embeddings)
+    index = Index(grow(vectors, rows_a_leaf=block // 8), {})
+    sent = embeddings.sparkSession.sparkContext.broadcast(index)
+    rows = scratch.keep(celled(vectors, lambda x: sent.value.cells(x), quantised), "rows")
+    parts, layout = blocked(rows, "vec_id", block)
+    blocks = scratch.keep(packed(parts, "dim", "block"), "blocks")
     asked = rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "x", "cell")).alias("v")).select("vec_id", "v.dim", "v.cell", "v.x")
-    candidates = cut(_summary(packed(dealt(rows, "vec_id", block)[0]), "c"))
-    blocks = _summary(packed(dealt(asked, "vec_id", query_block)[0]), "q")
-    blocks = cut(blocks.select("dim", F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "q_low", "q_high", "q_dev"))
-    least = cut(_least(blocks, candidates, k))
-    # Block summaries (some hundred bytes for each block of thousands of rows) meet, dealt over salts; vectors only where the bound allows.
-    heads = blocks.select("dim", "q_cell", "q_part", "q_low", "q_high", "q_dev").join(_floors(least), ["dim", "q_cell", "q_part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt_out = candidates.select("dim", "cell", "part", "c_low", "c_high", "c_dev").withColumn("salt", F.pmod(F.xxhash64("cell", "part"), F.lit(SALTS)).cast("int"))
-    bound = F.expr("aggregate(transform(sequence(1, greatest(size(q_low), 1)), s -> coalesce(greatest(try_element_at(q_low, s) * try_element_at(c_low, s), try_element_at(q_low, s) * try_element_at(c_high, s), try_element_at(q_high, s) * try_element_at(c_low, s), try_element_at(q_high, s) * try_element_at(c_high, s)) + try_element_at(q_dev, s) * try_element_at(c_dev, s), 0D)), 0D, (a, b) -> a + b)")
-    meet = heads.join(dealt_out, ["dim", "salt"]).filter(bound + F.abs(bound) * 1e-9 + 1e-6 >= F.col("floor")).select("dim", "q_cell", "q_part", "cell", "part")
-    full = blocks.select("dim", "q_cell", "q_part", "q_ids", "q_matrix").join(least, ["dim", "q_cell", "q_part"])
-    pairs = meet.join(candidates.select("dim", "cell", "part", "ids", "matrix"), ["dim", "cell", "part"]).join(full, ["dim", "q_cell", "q_part"])
-    return best(_scan(pairs.repartition("dim", "q_cell", "q_part", "cell", "part"), k), k)
-
-
-def _floors(least: DataFrame) -> DataFrame:
-    """Each query block's smallest ``least``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            floors = [float(np.frombuffer(x, np.float64).min(initial=np.inf)) for x in batch.column("least").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dim", "q_cell", "q_part")), pa.array(floors, pa.float64())], names=["dim", "q_cell", "q_part", "floor"])
-
-    return least.mapInArrow(run, "dim int, q_cell int, q_part int, floor double")
+    # Queries are packed by their own block, where a first search gives each a score to reach.
+    home, _ = blocked(asked, "vec_id", query_block)
+    own = F.create_map(*[x for d, c in layout.first for x in (F.lit(f"{d}:{c}"), F.lit(layout.first[d, c]))]) if layout.first else F.create_map(F.lit(""), F.lit(0))
+    queries = packed(home.withColumnRenamed("block", "part").withColumn("block", F.element_at(own, F.concat_ws(":", "dim", "cell"))), "dim", "block", "part").withColumn("extra", F.lit(None).cast("binary"))
+
+    def first(here: dict, row: dict) -> pa.RecordBatch:
+        least = np.full(len(row["ids"]), -np.inf)
+        for i, _, scores in search(row["ids"], row["matrix"], here["ids"], here["matrix"], least.copy(), k):
+            if len(scores) == k:
+                least[i] = scores[-1]
+        return pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (row["ids"], row["matrix"], least))], names=["dim", "ids", "matrix", "extra"])
+
+    def then(here: dict, row: dict) -> pa.RecordBatch | None:
+        found = list(search(row["ids"], row["matrix"], here["ids"], here["matrix"], np.frombuffer(row["extra"], np.float64), k))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v), row["ids"][i]) for i, v, _ in found])), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([s for *_, s in found]))], names=["query_id", "vec_id", "score"])
+
+    known = scratch.keep(meet(blocks, queries, first, "dim int, ids binary, matrix binary, extra binary"), "queries")
+    groups = max([1, *(-(-layout.count(d) // HEADS) for d in layout.by_dim)])
+    spread = known.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return best(meet(blocks, routed(spread, heads(blocks, groups)), then, "query_id long, vec_id long, score long"), k)
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:

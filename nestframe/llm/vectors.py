@@ -1,8 +1,10 @@
-"""Vectors in packed blocks: rows of a cell are dealt into blocks of bounded size, which meet query blocks as matrices."""
+"""Vectors in packed blocks: neighbouring cells' rows make blocks of bounded size that stay where they are, and queries are sent to them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: About so many rows make a block of candidates, and of queries.
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 16_384, 1024
 
 
 def usable(embeddings: DataFrame, zero: bool = True) -> DataFrame:
@@ -42,27 +44,60 @@ def celled(vectors: DataFrame, cell: Callable[[np.ndarray], np.ndarray], change:
     return vectors.mapInArrow(run, "vec_id long, dim int, cell int, x binary")
 
 
-def dealt(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, list]:
-    """Adds ``part``: rows of a (dim, cell) go by a hash of ``key`` to as many parts as keep each near ``size`` rows.
-
-    Also gives the counts by (dim, cell), which are few: as many as there are cells."""
-    counts = rows.groupBy("dim", "cell").count().collect()
+@dataclass(frozen=True)
+class Layout:
+    """Where cells' rows are: by dimension and cell their first block, how many blocks they are dealt over, and their number. As many entries as there are cells."""
+
+    first: dict[tuple[int, int], int]
+    parts: dict[tuple[int, int], int]
+    rows: dict[tuple[int, int], int]
+
+    def blocks(self, dim: int, cell: int) -> range:
+        first = self.first.get((dim, cell), 0)
+        return range(first, first + self.parts.get((dim, cell), 0))
+
+    @cached_property
+    def by_dim(self) -> dict[int, dict[int, int]]:
+        """Each dimension's cells and their numbers of rows."""
+        out: dict[int, dict[int, int]] = {}
+        for (d, c), n in self.rows.items():
+            out.setdefault(d, {})[c] = n
+        return out
+
+    def count(self, dim: int) -> int:
+        """Blocks of a dimension."""
+        return max((f + self.parts[k] for k, f in self.first.items() if k[0] == dim), default=0)
+
+
+def blocked(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, Layout]:
+    """Adds ``block``: cells that follow one another share one as long as it stays near ``size`` rows; a larger cell is dealt over its own ones by a hash of ``key``."""
+    counts = sorted((r["dim"], r["cell"], r["count"]) for r in rows.groupBy("dim", "cell").count().collect())
+    first, parts, many = {}, {}, {}
+    at, held, last = 0, 0, None
+    for dim, cell, n in counts:
+        if dim != last:
+            at, held, last = 0, 0, dim
+        if held and held + n > size:
+            at, held = at + 1, 0
+        first[dim, cell], parts[dim, cell], many[dim, cell] = at, -(-n // size), n
+        at, held = (at + parts[dim, cell], 0) if n > size else (at, held + n)
     if not counts:
-        return rows.withColumn("part", F.lit(0)), counts
-    parts = F.create_map(*[x for r in counts for x in (F.lit(f"{r['dim']}:{r['cell']}"), F.lit(-(-r["count"] // size)))])
-    known = F.element_at(parts, F.concat_ws(":", "dim", "cell"))
-    return rows.withColumn("part", F.pmod(F.xxhash64(key), known).cast("int")), counts
+        return rows.withColumn("block", F.lit(0)), Layout({}, {}, {})
+    # The map has an entry a cell; cells are as many as a fitted sample gives leaves.
+    place = F.create_map(*[x for k in first for x in (F.lit(f"{k[0]}:{k[1]}"), F.struct(F.lit(first[k]).alias("first"), F.lit(parts[k]).alias("parts")))])
+    known = F.element_at(place, F.concat_ws(":", "dim", "cell"))
+    return rows.withColumn("block", known["first"] + F.pmod(F.xxhash64(key), known["parts"]).cast("int")), Layout(first, parts, many)
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """One row a (dim, cell, part): its ids, ascending, and vectors as one matrix, both in binary."""
+def packed(rows: DataFrame, *by: str) -> DataFrame:
+    """One row a group: its cells in order, ids, ascending by cell, and vectors as one matrix, all in binary."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vec_id", "x"], kind="stable")
+        pdf = pdf.sort_values(["cell", "vec_id", "x"], kind="stable")
         first = pdf.iloc[0]
-        return pd.DataFrame({"dim": [first["dim"]], "cell": [first["cell"]], "part": [first["part"]], "ids": [pdf["vec_id"].to_numpy().tobytes()], "matrix": [b"".join(pdf["x"])]})
+        return pd.DataFrame({**{c: [first[c]] for c in by}, "cells": [pdf["cell"].to_numpy(np.int32).tobytes()], "ids": [pdf["vec_id"].to_numpy().tobytes()], "matrix": [b"".join(pdf["x"])]})
 
-    return rows.groupBy("dim", "cell", "part").applyInPandas(pack, "dim int, cell int, part int, ids binary, matrix binary")
+    return rows.groupBy(*by).applyInPandas(pack, ", ".join(f"{c} int" for c in by) + ", cells binary, ids binary, matrix binary")
 
 
 def unpack(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +105,29 @@ def unpack(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]
     return own, np.frombuffer(matrix, np.float64).reshape(len(own), dim)
 
 
+def meet(blocks: DataFrame, queries: DataFrame, work: Callable[[dict, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` for each block (dim, block, cells, ids, matrix) and each row of queries (dim, block, ids, matrix, extra) that is sent to it.
+
+    Rows are ordered so that a block comes before its queries, which follow one by one: a task holds one block and one row of queries."""
+    both = blocks.select("dim", "block", F.lit(0).alias("kind"), "cells", "ids", "matrix", F.lit(None).cast("binary").alias("extra"))
+    both = both.unionByName(queries.select("dim", "block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("cells"), "ids", "matrix", "extra"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: dict = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["kind"] == 0:
+                    ids, matrix = unpack(row["ids"], row["matrix"], row["dim"])
+                    here = {"dim": row["dim"], "block": row["block"], "ids": ids, "matrix": matrix, "cells": np.frombuffer(row["cells"], np.int32)}
+                elif (here.get("dim"), here.get("block")) == (row["dim"], row["block"]):
+                    row["ids"], row["matrix"] = unpack(row["ids"], row["matrix"], row["dim"])
+                    if (out := work(here, row)) is not None:
+                        yield out
+
+    return both.repartition("dim", "block").sortWithinPartitions("dim", "block", "kind").mapInArrow(run, schema)
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best of (query_id, vec_id, score) rows a query, ties to the smaller vec_id: query_id, rank, vec_id, score."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
