@@ -24,9 +24,9 @@ from nestframe.llm.shingles import BASE, mix64
 ORDER = 5
 #: Bounds of what is learned from: documents a language, and characters of a text.
 DOCS_A_LANGUAGE, CHARS = 400, 20_000
-#: Words that a task remembers, and how many of them, the first and so the frequent ones, it keeps when these
+#: Words that a task remembers, of up to so many characters, and how many of them, the first and so the frequent ones, it keeps when these
 #: are full. Forgetting only costs time.
-MEMORY, KEPT_WORDS = 400_000, 60_000
+MEMORY, SHORT, KEPT_WORDS = 400_000, 64, 60_000
 #: The share of calibration texts whose cross-entropy a known language's text may not pass.
 KEPT = 0.995
 
@@ -154,39 +154,57 @@ def fit(texts: dict[str, list[str]]) -> Model:
 
 
 class Scorer:
-    """Losses of whole texts; words are remembered."""
+    """Losses of whole texts; short words are remembered, in a table that grows as they come."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.row: dict[str, int] = {}
-        self.table = np.zeros((MEMORY + 1, len(model.languages) + 1))
+        self.table = np.zeros((1024, len(model.languages) + 1))
 
     def forget(self, kept: int = 0) -> None:
         self.row = dict(islice(self.row.items(), kept))
-        table = np.zeros((MEMORY + 1, len(self.model.languages) + 1))
-        table[: len(self.row)] = self.table[: len(self.row)]
-        self.table = table
+        self.table = self.table[: len(self.row) + 1024].copy()
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """For each text its loss in each language, and at the end its predicted characters (0: no letter)."""
         counted = [Counter(t.split()) if t else Counter() for t in texts]
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for i, c in enumerate(counted):
+            if long := [w for w in c if len(w) > SHORT]:
+                out[i] = self._once([(w, c.pop(w)) for w in long])
+        return out + self._short(counted)
+
+    def _short(self, counted: list[Counter]) -> np.ndarray:
         new = list(dict.fromkeys([w for c in counted for w in c if w not in self.row]))
         if len(self.row) + len(new) > MEMORY:
             self.forget(KEPT_WORDS)
             new = list(dict.fromkeys([w for c in counted for w in c if w not in self.row]))
             if len(self.row) + len(new) > MEMORY:
-                return np.concatenate([self(texts[: len(texts) // 2]), self(texts[len(texts) // 2 :])]) if len(texts) > 1 else self._long(counted[0])
+                return np.concatenate([self._short(counted[: len(counted) // 2]), self._short(counted[len(counted) // 2 :])]) if len(counted) > 1 else self._once(list(counted[0].items()))[None]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             rows = np.arange(len(self.row), len(self.row) + len(part))
+            if rows[-1] >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(part)), self.table.shape[1]))])
             self.table[rows] = self._losses(part)
             self.row.update(zip(part, rows.tolist(), strict=True))
-        out = np.zeros((len(texts), self.table.shape[1]))
+        out = np.zeros((len(counted), self.table.shape[1]))
         for i, c in enumerate(counted):
             if c:
                 out[i] = np.fromiter(c.values(), float, len(c)) @ self.table[[self.row[w] for w in c]]
         return out
 
+    def _once(self, items: list[tuple[str, int]]) -> np.ndarray:
+        """Words with their numbers, that are not remembered: some characters at a time."""
+        out, part, size = np.zeros(self.table.shape[1]), [], 0
+        for n, (w, times) in enumerate(items):
+            part.append((w, times))
+            size += len(w)
+            if size > 1 << 16 or n == len(items) - 1:
+                out += np.array([k for _, k in part], float) @ self._losses([x for x, _ in part])
+                part, size = [], 0
+        return out
+
     def _losses(self, tokens: list[str]) -> np.ndarray:
         runs = [letters(t) for t in tokens]
         loss, size = self.model.words([w for r in runs for w in r])
@@ -195,14 +213,6 @@ class Scorer:
         np.add.at(out, token, np.column_stack([loss, size]))
         return out
 
-    def _long(self, counted: Counter) -> np.ndarray:
-        out = np.zeros((1, self.table.shape[1]))
-        items = list(counted.items())
-        for start in range(0, len(items), 20_000):
-            part = items[start : start + 20_000]
-            out[0] += np.array([n for _, n in part], float) @ self._losses([w for w, _ in part])
-        return out
-
 
 def choose(model: Model, losses: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, score, cross-entropy and acceptance of each text."""
@@ -219,11 +229,11 @@ def choose(model: Model, losses: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return found, score, entropy, (size > 0) & (entropy <= model.limit) & (score >= 0.5)
 
 
-def draw(docs: DataFrame, each: int = DOCS_A_LANGUAGE) -> list:
+def draw(docs: DataFrame, each: int = DOCS_A_LANGUAGE, chars: int = CHARS) -> list:
     """About ``each`` documents (text, lang) a language at most, by a hash of doc_id: what the driver learns from.
 
     Languages are counted over all documents, then each row is kept or not by itself, so that no language's rows meet in one task."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= CHARS))
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return []
@@ -234,9 +244,9 @@ def draw(docs: DataFrame, each: int = DOCS_A_LANGUAGE) -> list:
     return kept.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").collect()
 
 
-def learn(docs: DataFrame, each: int = DOCS_A_LANGUAGE) -> Model:
+def learn(docs: DataFrame, each: int = DOCS_A_LANGUAGE, chars: int = CHARS) -> Model:
     """A model of docs (doc_id, text, lang); a quarter of the drawn documents calibrates the scores and the rejection."""
-    rows = draw(docs, each)
+    rows = draw(docs, each, chars)
     held = [r for i, r in enumerate(sorted(rows, key=lambda r: r["h"])) if i % 4 == 3]
     seen = {id(r) for r in held}
     texts: dict[str, list[str]] = {r["lang"]: [] for r in rows}
@@ -287,4 +297,4 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
     """Learns from documents of the folds other than 1 of 3."""
     docs = read(spark, sf_dir, "documents")
     model = learn(docs.filter(fold(F.col("doc_id"), 3) != 1))
-    return identify(docs, model).withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    return identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")

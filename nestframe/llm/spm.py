@@ -24,7 +24,7 @@ from nestframe.llm.common import read
 MARK = "▁"
 #: Words and pairs that a task remembers, and how many of them, the first and so the frequent ones, it keeps
 #: when these are full and for the next task. Forgetting only costs time.
-MEMORY, KEPT = 300_000, 60_000
+MEMORY, KEPT, SHORT = 300_000, 60_000, 64
 
 
 class Encoder:
@@ -134,9 +134,11 @@ class Encoder:
                         ids += [self.byte[b] for b in c.encode()]
                         start = k + 1
                 ids += self.run(word[start:]) if start < len(word) else []
-        if len(self.seen) >= MEMORY:
-            self.trim()
-        out = self.seen[key] = ",".join(map(str, ids))
+        out = ",".join(map(str, ids))
+        if len(key) <= SHORT:
+            if len(self.seen) >= MEMORY:
+                self.trim()
+            self.seen[key] = out
         return out
 
     def trim(self) -> None:

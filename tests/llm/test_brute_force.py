@@ -232,46 +232,6 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in found]) >= 0.98
 
 
-def test_kneser_ney_sums_to_one():
-    """After any context the characters' shares and the share of the unseen make one."""
-    from nestframe.llm import langid
-
-    texts = {"x": ["abba baab abab cab", "bca cab"], "y": ["ddc cdd"]}
-    model = langid.fit(texts)
-    for prefix in ("", "a", "ab", "cab", "abab"):
-        for k in range(2):
-            base = model.words([prefix])[0] if prefix else np.zeros((1, 2))
-            probabilities = []
-            for c in "abcd":
-                whole, _ = model.words([prefix + c])
-                end_of_prefix = _without_end(model, prefix)
-                end_of_word = _without_end(model, prefix + c)
-                probabilities.append(np.exp(-(end_of_word - end_of_prefix)[k]))
-            end = np.exp(-(base[0] - _without_end(model, prefix))[k]) if prefix else 0.0
-            assert sum(probabilities) + end <= 1 + 1e-9 and sum(probabilities) + end > 0.6
-
-
-def _without_end(model, prefix):
-    """Minus log probability of a word's characters, its end mark left out: the loss of the longer text's first part."""
-    from nestframe.llm import langid
-
-    if not prefix:
-        return np.zeros(len(model.languages))
-    old = langid.ngrams
-
-    def cut(words):
-        word, hashes, reach = old(words)
-        keep = np.ones(len(word), bool)
-        keep[np.flatnonzero(np.append(word[1:] != word[:-1], True))] = False
-        return word[keep], [h[keep] for h in hashes], [r[keep] for r in reach]
-
-    langid.ngrams = cut
-    try:
-        return model.words([prefix])[0][0]
-    finally:
-        langid.ngrams = old
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
