@@ -1,8 +1,8 @@
 """Licence notices and whole licence texts by the Dice coefficient of word bigrams.
 
 A text's lines and paragraphs are normalised and compared with templates. A template whose number of bigrams
-lies outside the bounds that the threshold allows is no candidate; of the rest, those that share enough bigrams
-(counted through an index of all templates' bigrams) are reported.
+lies outside the bounds that the threshold allows for a unit's size is not compared with it; of the rest, those that share enough bigrams
+are reported.
 
 Then all runs of consecutive words are compared, within lines and across lines and paragraphs, with these templates,
 further notices and whole licence texts. What is between words, such as comment marks, does not count. A template is
@@ -13,7 +13,6 @@ threshold t allows none at the next d / t starts, so few starts are tried and no
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 from pathlib import Path
@@ -86,21 +85,17 @@ class Scanner:
         self.threshold = threshold
         # 2 |A & B| / (|A| + |B|) >= t allows |A| from |B| t / (2 - t) to |B| (2 - t) / t.
         self.bounds = [(len(s) * threshold / (2 - threshold), len(s) * (2 - threshold) / threshold) for s in self.sets]
-        self.index: dict[tuple[str, str], list[int]] = {}
-        for k, s in enumerate(self.sets):
-            for b in s:
-                self.index.setdefault(b, []).append(k)
+        most = int(max((high for _, high in self.bounds), default=0))
+        #: By a unit's number of bigrams, the templates within whose bounds it is.
+        self.within = [[k for k, (low, high) in enumerate(self.bounds) if low <= n <= high] for n in range(most + 1)]
 
     def match(self, unit: str) -> tuple[str, float] | None:
-        """The best template of a unit and its coefficient, ties to the name first by code point."""
+        """The best template of a unit and its coefficient, ties to the name first by code point. Only templates whose bounds allow the unit's size are compared."""
         own = bigrams(unit)
-        shared: Counter[int] = Counter()
-        for b in own:
-            for k in self.index.get(b, ()):
-                shared[k] += 1
-        found = [(-2 * n / (len(own) + len(self.sets[k])), self.names[k]) for k, n in shared.items() if self.bounds[k][0] <= len(own) <= self.bounds[k][1]]
+        known = self.within[len(own)] if 0 < len(own) < len(self.within) else ()
+        found = [(-2 * len(own & self.sets[k]) / (len(own) + len(self.sets[k])), self.names[k]) for k in known]
         best = min(found, default=(0.0, ""))
-        return (best[1], -best[0]) if -best[0] >= self.threshold else None
+        return (best[1], -best[0]) if found and -best[0] >= self.threshold else None
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, licence, coefficient) of the lines and paragraphs that match, in code points."""

@@ -1,7 +1,8 @@
 """Content-addressed web archive.
 
 Payload bytes are stored once under their SHA-256; the exact header of every record is kept apart
-with that digest. Records are rebuilt by joining the two. Rows with equal payloads after the first
+with that digest. Records are rebuilt by joining the two, and what is read of them is read from the rebuilt bytes, which
+must have the digests they are known by. Rows with equal payloads after the first
 (smallest page_id) become revisit records, which point at it and carry no block.
 """
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from nestframe.llm.common import new_path, read
 
-#: Headers that share a payload are dealt over so many keys when they meet it.
-SALTS = 16
+#: Headers of a payload with more than so many copies are dealt over so many keys when they meet it; the most frequent such payloads are told to all tasks.
+COPIES, SALTS, HOT = 1_000, 16, 1_000
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,15 +31,17 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def _salted(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def met(many: DataFrame, one: DataFrame, counts: DataFrame, how: str = "inner", copies: int = COPIES, salts: int = SALTS) -> DataFrame:
+    """``many`` rows beside the one of their digest. Digests of which there are more than ``copies`` (``counts``: digest, n), HOT of them at most, are salted; Spark
+    splits what else is uneven."""
+    hot = F.broadcast(counts.filter(F.col("n") > copies).orderBy(F.desc("n"), "digest").limit(HOT).select("digest", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    dealt = many.join(hot, "digest", "left").withColumn("salt", salt).drop("hot")
+    spread = one.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), F.lit(salts - 1)).otherwise(F.lit(0))))).drop("hot")
+    return dealt.join(spread, ["digest", "salt"], how).drop("salt")
 
 
-def _salt(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-
-
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", salts: int = SALTS) -> None:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", copies: int = COPIES) -> None:
     """Writes ``path``/payloads (digest, payload) and ``path``/headers (header, digest) from page_id, url, html.
 
     A null html is an empty payload, a null url gives no WARC-Target-URI line, line ends within a url
@@ -52,8 +55,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     # Equal digests have equal bytes, so any one will do; map-side, each task passes a payload on once.
     ident.dropDuplicates(["digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     narrow = ident.select("page_id", "url", "digest", F.length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    known = _salt(narrow, salts).join(_salted(first, salts), ["digest", "salt"])
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    known = met(narrow, first.drop("n"), first.select("digest", "n"), copies=copies)
     revisit = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -78,31 +81,46 @@ def field(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_archive(spark: SparkSession, path: str, salts: int = SALTS) -> DataFrame:
-    """One row a record, from its header and stored payload: header, page_id, url, record_type, refers_to, payload_bytes, payload_digest, verified.
-
-    Length and SHA-1 are taken anew from the stored bytes; ``verified`` tells that the bytes still
-    have the SHA-256 they are kept under and that the header names the same SHA-1.
-    """
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.unhex(F.sha2("payload", 256)) == F.col("digest")).alias("whole"))
+def _heads(spark: SparkSession, path: str) -> DataFrame:
     page = lambda value: F.regexp_extract(value, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
-    heads = spark.read.parquet(f"{path}/headers").select("header", "digest", page(field("WARC-Record-ID")).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), page(field("WARC-Refers-To")).alias("refers_to"), field("WARC-Payload-Digest").alias("named"))
-    both = _salt(heads, salts).join(_salted(stored, salts), ["digest", "salt"], "left")
-    verified = F.coalesce(F.col("whole") & (F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
-    return both.select("header", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", verified.alias("verified"))
+    named = {"url": field("WARC-Target-URI"), "record_type": field("WARC-Type"), "refers_to": page(field("WARC-Refers-To")), "named": field("WARC-Payload-Digest"), "content_length": field("Content-Length").cast("int")}
+    return spark.read.parquet(f"{path}/headers").select("header", "digest", page(field("WARC-Record-ID")).alias("page_id"), *[c.alias(n) for n, c in named.items()])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records, byte for byte: page_id, record (header, block and the two line ends)."""
-    heads = spark.read.parquet(f"{path}/headers").withColumn("page_id", F.regexp_extract(field("WARC-Record-ID"), r"(-?\d+)>$", 1).try_cast("long"))
-    is_response = field("WARC-Type") == "response"
+    """The original records, byte for byte, each from its header and, of responses, the stored payload: page_id, record (header, block and the two line ends), and
+    the header's fields."""
+    heads = _heads(spark, path)
+    is_response = F.col("record_type") == "response"
     whole = heads.filter(is_response).join(spark.read.parquet(f"{path}/payloads"), "digest")
     empty = heads.filter(~is_response).withColumn("payload", F.lit(b""))
     record = F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.lit(b"\r\n\r\n"))
-    return whole.unionByName(empty).select("page_id", record.alias("record"))
+    return whole.unionByName(empty).select("page_id", record.alias("record"), *[c for c in heads.columns if c != "page_id"])
+
+
+def read_archive(spark: SparkSession, path: str, copies: int = COPIES) -> DataFrame:
+    """One row a record: header, page_id, url, record_type, refers_to, payload_bytes, payload_digest.
+
+    Length and SHA-1 are those of the block in the rebuilt record of the response, for revisits of the one that they refer to. A block that hasn't the SHA-256 it is kept under, or
+    not the SHA-1 that a header names, ends the job with an error.
+    """
+    block = F.substring(F.col("record"), F.octet_length("header") + 1, F.col("content_length"))
+    responses = read_records(spark, path).filter("record_type = 'response'").withColumn("block", block)
+    sha1 = base32_sha1(F.col("block"))
+    sound = (F.unhex(F.sha2("block", 256)) == F.col("digest")) & (F.col("named") == F.concat(F.lit("sha1:"), sha1))
+    failed = F.raise_error(F.concat(F.lit("A payload of the archive is not the one it is kept as: "), F.hex("digest"))).cast("string")
+    read = responses.select("header", "digest", "page_id", "url", "record_type", "refers_to", F.octet_length("block").cast("long").alias("payload_bytes"), F.when(F.coalesce(sound, F.lit(False)), sha1).otherwise(failed).alias("payload_digest"))
+    heads = _heads(spark, path).filter("record_type = 'revisit'")
+    known = read.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    both = met(heads, known, heads.groupBy("digest").agg(F.count("*").alias("n")), "left", copies)
+    agrees = F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    revisits = both.withColumn("payload_digest", F.when(F.coalesce(agrees, F.lit(False)), F.col("payload_digest")).otherwise(failed))
+    columns = ("header", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    return read.select(*columns).unionByName(revisits.select(*columns))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages, written as records and read from the records that are rebuilt; ``verified`` is true, as a record that isn't would have ended the job."""
     path = new_path(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.lit(True).alias("verified"))

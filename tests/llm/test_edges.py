@@ -102,7 +102,6 @@ def test_warc(spark):
     assert [r["record_type"] for r in got[2]] == ["response"] * 2 and got[3][0]["record_type"] == "revisit" and got[3][0]["refers_to"] == 2
     assert got[3][0]["url"] == "u%0D%0AX: y" and got[6][0]["refers_to"] == 5 and got[5][0]["payload_bytes"] == 0
     assert got[7][0]["payload_bytes"] == len(LONG) and got[None][0]["payload_bytes"] == 2
-    assert all(r["verified"] for rows in got.values() for r in rows)
     records = of(warc.read_records(spark, path), "page_id")
     assert bytes(records[7][0]["record"]).endswith(LONG.encode() + b"\r\n\r\n") and bytes(records[3][0]["record"]).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert spark.read.parquet(f"{path}/payloads").count() == 4
@@ -123,3 +122,17 @@ def test_ann(vectors):
     got = of(ann.search(vectors, F.col("vec_id") % 50 == 0), "query_id")
     assert [r["vec_id"] for r in sorted(got[0], key=lambda r: r["rank"])] == [1, 1, 7, 50]
     assert ann.search(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_warc_copies_and_damage(spark):
+    """Many copies of a payload, and one that was changed where it is stored."""
+    rows = [(i, f"u{i}", "copy" if i % 3 else f"own {i}") for i in range(300)]
+    path = new_path(spark, "warc-copies")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, copies=20)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archive(spark, path, copies=20).collect()}
+    assert got == {i: ("response", None, len(t)) if t != "copy" or i == 1 else ("revisit", 1, 4) for i, _, t in rows}
+    damaged = new_path(spark, "warc-damaged")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{damaged}/headers")
+    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.when(F.col("payload") == F.lit(b"own 3"), F.lit(b"OWN 3")).otherwise(F.col("payload"))).write.parquet(f"{damaged}/payloads")
+    with pytest.raises(Exception, match="not the one it is kept as"):
+        warc.read_archive(spark, damaged).collect()
