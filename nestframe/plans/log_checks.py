@@ -6,7 +6,9 @@ The log has one row a definition or selection:
 * ``name``, and ``owner``, the name of the operation or fragment (for arguments and directives the path of the field,
   for fields of input objects the path of the object) that it stands in; an anonymous operation's name is null;
 * ``parent_type``: the type that a field is selected on, a fragment's or spread's surroundings;
-* ``key`` and ``path``: a field's response key and path; a field's children, spreads among them, have its path as ``parent``;
+* ``key`` and ``path``: a field's response key and path; a field's children, spreads among them, have its path as ``parent``. Where fields of different parent types
+  share a key at one place, their paths are to differ as their children do;
+* arguments of directives have ``@`` and the directive's name as ``parent_type``;
 * ``type``: an operation's kind, a variable's, condition's or fragment's type, the type that a use or argument is expected to
   have; ``value``: an argument's kind of literal, a variable's default, a field's arguments as text in the order of their names.
 
@@ -20,9 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nestframe.plans.suggest import distance
 from nestframe.storage import stored as _stored
 
 SCHEMA = "doc long, kind string, name string, owner string, parent_type string, key string, path string, parent string, type string, value string"
@@ -40,6 +44,22 @@ def _twice(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy("doc", *by).agg(F.count("*").alias("times")).filter("times > 1").drop("times")
 
 
+def suggested(wrong: DataFrame, known: DataFrame, by: str) -> DataFrame:
+    """Adds ``hint`` to rows (name, ``by``): the up to five known names (name, ``by``) of the same ``by`` that the name may stand for, nearest first; else empty text.
+
+    A pair of names is compared once, however often it occurs; known names are as many as a schema has."""
+    near = F.pandas_udf(lambda a, b: pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)]), "int")
+    pairs = wrong.select(by, "name").distinct().join(known.select(by, F.col("name").alias("other")).distinct(), by).withColumn("far", near("name", "other"))
+    half = lambda c: F.floor(F.length(c) / 2)
+    close = pairs.filter(F.col("far") <= F.greatest(half("name"), half("other"), F.lit(1)))
+    best = close.withColumn("place", F.row_number().over(Window.partitionBy(by, "name").orderBy("far", "other"))).filter("place <= 5")
+    lists = best.groupBy(by, "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "other"))), lambda x: F.concat(F.lit('"'), x["other"], F.lit('"'))).alias("n"))
+    size = F.size("n")
+    text = F.when(size == 1, F.get("n", F.lit(0))).otherwise(F.concat(F.array_join(F.slice("n", F.lit(1), size - 1), ", "), F.when(size > 2, F.lit(",")).otherwise(F.lit("")), F.lit(" or "), F.get("n", size - 1)))
+    hints = lists.select(by, "name", F.concat(F.lit(" Did you mean "), text, F.lit("?")).alias("hint"))
+    return wrong.join(hints, [by, "name"], "left").withColumn("hint", F.coalesce("hint", F.lit("")))
+
+
 def unique_names(log: DataFrame, kind: str) -> DataFrame:
     """Names defined more than once: operations and fragments in a document, variables, arguments and directives by owner."""
     by = ("name",) if kind in ("operation", "fragment") else ("owner", "name")
@@ -61,7 +81,8 @@ def single_field_subscriptions(log: DataFrame) -> DataFrame:
 def known_types(log: DataFrame, types: DataFrame) -> DataFrame:
     """Types of conditions, fragments and variables that the schema doesn't have; ``types``: name."""
     used = log.filter(F.col("kind").isin("condition", "fragment", "variable")).select("doc", F.regexp_replace("type", r"[\[\]!]", "").alias("name")).filter(F.col("name").isNotNull())
-    return _bad(used.join(types.select("name"), "name", "left_anti"), "Unknown type")
+    wrong = used.join(types.select("name"), "name", "left_anti").withColumn("of", F.lit("type"))
+    return _bad(suggested(wrong, types.withColumn("of", F.lit("type")), "of"), F.concat(F.lit('Unknown type "'), "name", F.lit('".'), "hint"))
 
 
 def composite_conditions(log: DataFrame, types: DataFrame) -> DataFrame:
@@ -88,7 +109,8 @@ def scalar_leafs(log: DataFrame, fields: DataFrame) -> DataFrame:
 def known_fields(log: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields that their type doesn't have; ``fields``: type_name, name."""
     known = fields.select(F.col("type_name").alias("parent_type"), "name")
-    return _bad(_of(log, "field").filter("name <> '__typename'").join(known, ["parent_type", "name"], "left_anti"), F.concat(F.lit("Cannot query field on type "), "parent_type"))
+    wrong = _of(log, "field").filter("name <> '__typename'").join(known, ["parent_type", "name"], "left_anti")
+    return _bad(suggested(wrong, known, "parent_type"), F.concat(F.lit('Cannot query field "'), "name", F.lit('" on type "'), "parent_type", F.lit('".'), "hint"))
 
 
 def known_fragments(log: DataFrame) -> DataFrame:
@@ -192,16 +214,21 @@ def known_directives(log: DataFrame, directives: DataFrame) -> DataFrame:
 
 
 def known_arguments(log: DataFrame, arguments: DataFrame) -> DataFrame:
-    """Arguments that their field doesn't have; ``arguments``: field (Type.name), name. An argument's ``parent_type`` is its field."""
-    return _bad(_of(log, "argument").join(arguments.select(F.col("field").alias("parent_type"), "name"), ["parent_type", "name"], "left_anti"), "Unknown argument on field")
+    """Arguments that their field or directive doesn't have; ``arguments``: field (Type.name, or @name), name. An argument's ``parent_type`` is its field or directive."""
+    known = arguments.select(F.col("field").alias("parent_type"), "name")
+    wrong = _of(log, "argument").join(known, ["parent_type", "name"], "left_anti")
+    owner = F.when(F.col("parent_type").startswith("@"), F.concat(F.lit("directive "), "parent_type")).otherwise(F.concat(F.lit("field "), "parent_type"))
+    return _bad(suggested(wrong, known, "parent_type"), F.concat(F.lit('Unknown argument "'), "name", F.lit('" on '), owner, F.lit("."), "hint"))
 
 
 def required_arguments(log: DataFrame, arguments: DataFrame) -> DataFrame:
-    """Fields without an argument that they need; ``arguments``: field, name, required."""
+    """Fields and directives without an argument that they need; ``arguments``: field (Type.name, or @name), name, required."""
     needed = arguments.filter("required").select("field", F.col("name").alias("argument"))
-    fields = _of(log, "field").withColumn("field", F.concat_ws(".", "parent_type", "name")).join(needed, "field")
-    given = _of(log, "argument").select("doc", F.col("owner").alias("path"), F.col("name").alias("argument"))
-    return _bad(fields.join(given, ["doc", "path", "argument"], "left_anti"), F.concat(F.lit("Field is missing argument "), "argument"))
+    fields = _of(log, "field").select("doc", "name", "path", F.concat_ws(".", "parent_type", "name").alias("field"))
+    directives = _of(log, "directive").select("doc", "name", F.col("owner").alias("path"), F.concat(F.lit("@"), "name").alias("field"))
+    given = _of(log, "argument").select("doc", F.col("owner").alias("path"), F.col("parent_type").alias("field"), F.col("name").alias("argument"))
+    missing = fields.unionByName(directives).join(needed, "field").join(given, ["doc", "path", "field", "argument"], "left_anti")
+    return _bad(missing, F.concat(F.when(F.col("field").startswith("@"), F.lit("Directive")).otherwise(F.lit("Field")), F.lit(" is missing argument "), "argument"))
 
 
 def argument_values(log: DataFrame, fits: DataFrame) -> DataFrame:
@@ -211,36 +238,58 @@ def argument_values(log: DataFrame, fits: DataFrame) -> DataFrame:
     return _bad(plain.join(fits.select(F.col("type").alias("bare"), "value"), ["bare", "value"], "left_anti"), "Expected another type of value")
 
 
-def conflicting_keys(log: DataFrame) -> DataFrame:
-    """Response keys that stand for different fields, or one field with different arguments, of one type in selections that are merged.
+def _shapes(fields: DataFrame, types: DataFrame) -> DataFrame:
+    """parent_type, name, shape: a field's type as it is written, with a star for a type that has fields."""
+    named = fields.select(F.col("type_name").alias("parent_type"), "name", "type", F.regexp_replace("type", r"[\[\]!]", "").alias("bare"))
+    kinds = types.select(F.col("name").alias("bare"), F.col("kind").isin("OBJECT", "INTERFACE", "UNION").alias("composite"))
+    return named.join(kinds, "bare", "left").select("parent_type", "name", F.when(F.col("composite"), F.replace("type", "bare", F.lit("*"))).otherwise(F.col("type")).alias("shape"))
+
+
+def conflicting_keys(log: DataFrame, fields: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Response keys that stand for different things in selections that are merged: different fields, differing arguments, or types that can't be one.
 
     A selection (owner and path) is merged with the fragments that it spreads, directly or through others, and these with one
-    another; where merged selections have the same field, the selections below are merged too. Fields of different
-    parent types are not compared, nor are the types that fields give.
+    another; where merged selections have the same key, the selections below are merged too. Fields of different object types never meet on
+    one object, nor does what is below them, so only their types must agree: the same lists, nulls and leaves. ``fields`` (type_name, name, type) and
+    ``types`` (name, kind) tell these; without them types are not compared, and all parent types are taken for object types.
     """
-    fields = _of(log, "field").select("doc", _owner().alias("owner"), F.coalesce("parent", F.lit("")).alias("at"), F.coalesce("path", F.lit("")).alias("path"), "parent_type", "key", "name", F.coalesce("value", F.lit("")).alias("value")).distinct()
+    rows = _of(log, "field").select("doc", _owner().alias("owner"), F.coalesce("parent", F.lit("")).alias("at"), F.coalesce("path", F.lit("")).alias("path"), "parent_type", "key", "name", F.coalesce("value", F.lit("")).alias("value")).distinct()
+    if fields is None or types is None:
+        rows = rows.withColumn("shape", F.lit(None).cast("string")).withColumn("abstract", F.lit(False))
+    else:
+        kinds = types.select(F.col("name").alias("parent_type"), F.col("kind").isin("INTERFACE", "UNION").alias("abstract"))
+        rows = rows.join(_shapes(fields, types), ["parent_type", "name"], "left").join(kinds, "parent_type", "left").withColumn("abstract", F.coalesce("abstract", F.lit(False)))
     spreads = _of(log, "spread").select("doc", _owner().alias("owner"), F.coalesce("parent", F.lit("")).alias("at"), F.col("name").alias("next")).distinct()
     spreads = _stored(spreads.join(_fragments(log).withColumnRenamed("owner", "next"), ["doc", "next"], "left_semi"))
     side = lambda df, n: df.select("doc", *[F.col(c).alias(c + n) for c in df.columns if c != "doc"])
-    a, b, other = side(fields, "_a"), side(fields, "_b"), side(spreads, "_b").withColumnRenamed("next_b", "next")
+    a, b, other = side(rows, "_a"), side(rows, "_b"), side(spreads, "_b").withColumnRenamed("next_b", "next")
     same = lambda c: F.col(c + "_a").eqNullSafe(F.col(c + "_b"))
-    nodes = fields.select("doc", "owner", "at").unionByName(spreads.select("doc", "owner", "at")).distinct()
-    pairs = nodes.select("doc", F.col("owner").alias("owner_a"), F.col("at").alias("at_a"), F.col("owner").alias("owner_b"), F.col("at").alias("at_b"))
+    differ = F.coalesce(F.col("shape_a") != F.col("shape_b"), F.lit(False))
+    field_differs = ~F.col("here") & (~same("name") | ~same("value"))
+    nodes = rows.select("doc", "owner", "at").unionByName(spreads.select("doc", "owner", "at")).distinct()
+    pairs = nodes.select("doc", F.col("owner").alias("owner_a"), F.col("at").alias("at_a"), F.col("owner").alias("owner_b"), F.col("at").alias("at_b"), F.lit(False).alias("apart"))
 
     def met(last: DataFrame) -> DataFrame:
-        return last.join(a, ["doc", "owner_a", "at_a"]).join(b, ["doc", "owner_b", "at_b"]).filter(same("key") & same("parent_type"))
+        """Fields of one key; ``here``: whether they can't be of one object."""
+        both = last.join(a, ["doc", "owner_a", "at_a"]).join(b, ["doc", "owner_b", "at_b"]).filter(same("key"))
+        return both.withColumn("here", F.col("apart") | (~same("parent_type") & ~F.col("abstract_a") & ~F.col("abstract_b")))
 
     def further(last: DataFrame) -> DataFrame:
-        spread = last.join(other, ["doc", "owner_b", "at_b"]).select("doc", "owner_a", "at_a", F.col("next").alias("owner_b"), F.lit("").alias("at_b"))
-        below = met(last).filter(same("name") & same("value") & (F.col("path_a") != "") & (F.col("path_b") != "")).select("doc", "owner_a", F.col("path_a").alias("at_a"), "owner_b", F.col("path_b").alias("at_b"))
+        spread = last.join(other, ["doc", "owner_b", "at_b"]).select("doc", "owner_a", "at_a", F.col("next").alias("owner_b"), F.lit("").alias("at_b"), "apart")
+        below = met(last).filter(~field_differs & ~differ & (F.col("path_a") != "") & (F.col("path_b") != "")).select("doc", "owner_a", F.col("path_a").alias("at_a"), "owner_b", F.col("path_b").alias("at_b"), F.col("here").alias("apart"))
         both = spread.unionByName(below)
-        return both.unionByName(both.select("doc", F.col("owner_b").alias("owner_a"), F.col("at_b").alias("at_a"), F.col("owner_a").alias("owner_b"), F.col("at_a").alias("at_b")))
-
-    crossed = None
-    if not spreads.isEmpty():
+        return both.unionByName(both.select("doc", F.col("owner_b").alias("owner_a"), F.col("at_b").alias("at_a"), F.col("owner_a").alias("owner_b"), F.col("at_a").alias("at_b"), "apart"))
+
+    found = lambda df, cases: df.select("doc", "key", cases.alias("why")).filter(F.col("why").isNotNull())
+    say = lambda name, value, shape: F.when(name, F.lit("they are different fields")).when(value, F.lit("they have differing arguments")).when(shape, F.lit("they return conflicting types"))
+    # Within one selection, without pairs: of one parent type, and of all where one of the parents is abstract.
+    spans = [F.min(c).alias(f"{c}_lo") for c in ("name", "value", "shape")] + [F.max(c).alias(f"{c}_hi") for c in ("name", "value", "shape")]
+    one = rows.groupBy("doc", "owner", "at", "parent_type", "key").agg(*spans)
+    every = found(one, say(F.col("name_lo") != F.col("name_hi"), F.col("value_lo") != F.col("value_hi"), F.lit(False)))
+    mixed = rows.groupBy("doc", "owner", "at", "key").agg(*spans, F.max("abstract").alias("abstract"), F.countDistinct("path").alias("paths"))
+    every = every.unionByName(found(mixed, say(F.col("abstract") & (F.col("name_lo") != F.col("name_hi")), F.col("abstract") & (F.col("value_lo") != F.col("value_hi")), F.col("shape_lo") != F.col("shape_hi"))))
+    if not spreads.isEmpty() or not mixed.filter("paths > 1").isEmpty():
         own = _closure(pairs, further).filter((F.col("owner_a") != F.col("owner_b")) | (F.col("at_a") != F.col("at_b")))
-        crossed = met(own).filter(~same("name") | ~same("value")).select("doc", F.col("key_a").alias("key"), same("name").alias("one"))
-    by = fields.groupBy("doc", "owner", "at", "parent_type", "key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.min("value").alias("least"), F.max("value").alias("most"))
-    alone = by.filter("lo <> hi OR least <> most").select("doc", "key", F.expr("lo = hi").alias("one"))
-    every = alone if crossed is None else alone.unionByName(crossed)
-    return _bad(every, F.when(F.col("one"), "Fields conflict because they have differing arguments").otherwise("Fields conflict because they are different fields"), "key")
+        crossed = met(own).withColumn("key", F.col("key_a"))
+        every = every.unionByName(found(crossed, say(~F.col("here") & ~same("name"), ~F.col("here") & ~same("value"), differ)))
+    return _bad(every, F.concat(F.lit("Fields conflict because "), "why"), "key")

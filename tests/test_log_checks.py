@@ -56,3 +56,37 @@ def test_fragments_far_from_operations(spark):
     cycle = [*[row("fragment", f"f{i}") for i in range(70)], *[row("spread", f"f{(i + 1) % 70}", f"f{i}") for i in range(70)]]
     assert bad(of.unused_fragments, spark, chain) == [[]]
     assert len(bad(of.fragment_cycles, spark, cycle)[0]) == 70
+
+
+def test_conflicts_of_types_and_of_exclusive_parents(spark):
+    types = spark.createDataFrame([("Dog", "OBJECT"), ("Cat", "OBJECT"), ("Pet", "INTERFACE"), ("P", "OBJECT"), ("Int", "SCALAR"), ("String", "SCALAR")], "name string, kind string")
+    known = [("Dog", "a", "Int"), ("Cat", "a", "Int"), ("Cat", "b", "Int"), ("Cat", "c", "String"), ("Cat", "n", "Int!"), ("Cat", "l", "[Int]"), ("Pet", "a", "Int"), ("Dog", "p", "P"), ("Cat", "p", "P"), ("Cat", "q", "[P]"), ("P", "x", "Int"), ("P", "y", "Int"), ("P", "z", "String")]
+    fields = spark.createDataFrame(known, "type_name string, name string, type string")
+    at = lambda parent, name, key="k", path=None, below=None: row("field", name, "q", parent_type=parent, key=key, path=path or key, parent=below)
+    check = lambda log: of.conflicting_keys(log, fields, types)
+    docs = (
+        [at("Dog", "a"), at("Cat", "b")],  # other fields of types that exclude each other
+        [at("Dog", "a"), at("Cat", "c")],
+        [at("Dog", "a"), at("Cat", "n")],
+        [at("Dog", "a"), at("Cat", "l")],
+        [at("Pet", "a"), at("Cat", "b")],  # a cat is a pet
+        [at("Dog", "p"), at("Cat", "q")],
+        [at("Dog", "p", path="k@Dog"), at("Cat", "p", path="k@Cat"), at("P", "x", "v", "1", "k@Dog"), at("P", "y", "v", "2", "k@Cat")],
+        [at("Dog", "p", path="k@Dog"), at("Cat", "p", path="k@Cat"), at("P", "x", "v", "1", "k@Dog"), at("P", "z", "v", "2", "k@Cat")],
+        [at("Pet", "a"), at("Dog", "a"), at("Cat", "a")],
+    )
+    assert bad(check, spark, *docs) == [[], ["k"], ["k"], ["k"], ["k"], ["k"], [], ["v"], []]
+
+
+def test_suggestions_and_arguments_of_directives(spark):
+    fields = spark.createDataFrame([("T", "name"), ("T", "size"), ("U", "nmae")], "type_name string, name string")
+    log = spark.createDataFrame([tuple({"doc": 1, **row("field", n, "q", parent_type="T")}.get(c) for c in COLUMNS) for n in ("nmae", "zzzzzzzz")], of.SCHEMA)
+    assert {r["name"]: r["message"] for r in of.known_fields(log, fields).collect()} == {"nmae": 'Cannot query field "nmae" on type "T". Did you mean "name"?', "zzzzzzzz": 'Cannot query field "zzzzzzzz" on type "T".'}
+    arguments = spark.createDataFrame([("@skip", "if", True), ("T.name", "size", False)], "field string, name string, required boolean")
+    docs = (
+        [row("directive", "skip", "f"), row("argument", "if", "f", parent_type="@skip")],
+        [row("directive", "skip", "f")],
+        [row("directive", "skip", "f"), row("argument", "unless", "f", parent_type="@skip"), row("argument", "if", "g", parent_type="@skip")],
+    )
+    assert bad(lambda log: of.required_arguments(log, arguments), spark, *docs) == [[], ["skip"], ["skip"]]
+    assert bad(lambda log: of.known_arguments(log, arguments), spark, *docs) == [[], [], ["unless"]]
