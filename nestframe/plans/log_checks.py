@@ -21,6 +21,7 @@ Every check gives doc, name, message; a document that is right gives no row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -118,11 +119,10 @@ def known_fragments(log: DataFrame) -> DataFrame:
     return _bad(_of(log, "spread").join(_of(log, "fragment").select("doc", "name"), ["doc", "name"], "left_anti"), "Unknown fragment")
 
 
-def unused_fragments(log: DataFrame) -> DataFrame:
-    """Fragments that no operation reaches, directly or through others; an anonymous operation is the owner ``null``."""
-    spreads = _of(log, "spread").select("doc", _owner().alias("owner"), "name").distinct()
-    start = spreads.join(_of(log, "operation").select("doc", _owner("name").alias("owner")), ["doc", "owner"], "left_semi").select("doc", "name").distinct()
-    reached = _closure(start, lambda last: last.withColumnRenamed("name", "owner").join(spreads, ["doc", "owner"]).select("doc", "name"))
+def unused_fragments(log: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """Fragments that no operation reaches, directly or through others."""
+    operations = _of(log, "operation").select("doc", _owner("name").alias("operation")).distinct()
+    reached = (reachable(log) if reach is None else reach).join(operations, ["doc", "operation"], "left_semi").select("doc", F.col("owner").alias("name")).distinct()
     return _bad(_of(log, "fragment").join(reached, ["doc", "name"], "left_anti"), "Fragment is never used")
 
 
@@ -171,36 +171,37 @@ def reachable(log: DataFrame) -> DataFrame:
 
 
 def _closure(start: DataFrame, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The distinct rows ``start`` and all that rounds of ``further`` add to it, until no row is new."""
-    found = new = _stored(start)
+    """The distinct rows ``start`` and all that rounds of ``further`` add to it, until no row is new. Each round's new rows are written once, and put together now and then."""
+    new = _stored(start)
+    parts = [new]
     while not new.isEmpty():
-        new = _stored(further(new).distinct().join(found, start.columns, "left_anti"))
-        found = _stored(found.unionByName(new))
-    return found
+        new = _stored(further(new).distinct().join(reduce(DataFrame.unionByName, parts), start.columns, "left_anti"))
+        parts = [*parts, new] if len(parts) < 8 else [_stored(reduce(DataFrame.unionByName, [*parts, new]))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _variables(log: DataFrame) -> DataFrame:
     return _of(log, "variable").withColumn("operation", _owner())
 
 
-def _uses(log: DataFrame) -> DataFrame:
-    """Uses with each operation that reaches them."""
-    return _of(log, "use").withColumn("owner", _owner()).join(reachable(log), ["doc", "owner"])
+def _uses(log: DataFrame, reach: DataFrame | None) -> DataFrame:
+    """Uses with each operation that reaches them; ``reach``: what ``reachable`` gives, made anew where it isn't given."""
+    return _of(log, "use").withColumn("owner", _owner()).join(reachable(log) if reach is None else reach, ["doc", "owner"])
 
 
-def undefined_variables(log: DataFrame) -> DataFrame:
-    return _bad(_uses(log).join(_variables(log).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is not defined by operation")
+def undefined_variables(log: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    return _bad(_uses(log, reach).join(_variables(log).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is not defined by operation")
 
 
-def unused_variables(log: DataFrame) -> DataFrame:
-    return _bad(_variables(log).join(_uses(log).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is never used in operation")
+def unused_variables(log: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    return _bad(_variables(log).join(_uses(log, reach).select("doc", "operation", "name"), ["doc", "operation", "name"], "left_anti"), "Variable is never used in operation")
 
 
-def variable_positions(log: DataFrame) -> DataFrame:
+def variable_positions(log: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """Uses where a type is expected that the variable's isn't: it may only be stricter about nulls."""
     variables = _variables(log).select("doc", "operation", "name", F.col("type").alias("given"), F.col("value").alias("default"))
     given = F.when(F.col("default").isNotNull() & ~F.col("given").endswith("!"), F.concat("given", F.lit("!"))).otherwise(F.col("given"))
-    used = _uses(log).filter(F.col("type").isNotNull()).join(variables, ["doc", "operation", "name"])
+    used = _uses(log, reach).filter(F.col("type").isNotNull()).join(variables, ["doc", "operation", "name"])
     fits = (given == F.col("type")) | (given == F.concat("type", F.lit("!"))) | (F.regexp_replace(given, "!", "") == F.col("type"))
     return _bad(used.filter(~fits), "Variable of its type used in position expecting another type")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from nestframe.operators.nest import Arg, ByName, Field, ObjectType, Pick, Schem
 from nestframe.operators.write import Versions, Write, mutate, read_lines, write_lines
 from nestframe.plans import catalog, log_checks
 from nestframe.sources.tables import FLAG, STATUS, schema
-from nestframe.storage import new_path
+from nestframe.storage import new_path, stored
 from nestframe.streaming.subscribe import subscribe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,59 +442,98 @@ def check_conflicting_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_checks.conflicting_keys(log(spark, sf_dir)).select("doc", "name")
 
 
-#: One faulty document for each rule, and document 0 without faults: rows of the log by its columns.
+Q = {"kind": "operation", "name": "q", "type": "query"}
+CUSTOMER_FIELD = {"kind": "field", "owner": "q", "parent_type": "Customer"}
+ORDERS = {**CUSTOMER_FIELD, "name": "orders", "key": "orders", "path": "orders"}
+ORDER_ID = {"kind": "field", "owner": "q", "name": "id", "key": "id", "parent_type": "Order", "path": "orders.id", "parent": "orders"}
+TOTAL = {"kind": "argument", "name": "minTotal", "owner": "orders", "parent_type": "Customer.orders"}
+F_ = {"kind": "fragment", "name": "f", "type": "Customer"}
+TO_F = {"kind": "spread", "name": "f", "owner": "q", "parent_type": "Customer"}
+V = {"kind": "variable", "name": "v", "owner": "q", "type": "Int"}
+USE = {"kind": "use", "name": "v", "owner": "q", "type": "Int"}
+
+
+def _leaf(name: str, key: str, **more: str) -> dict:
+    return {**CUSTOMER_FIELD, "name": name, "key": key, "path": key, **more}
+
+
+#: Rows of a document for each rule, by the log's columns, right but for that rule (and those named beside it); the first breaks none.
 FAULTS = (
-    ("unique_operations", 1, [{"kind": "operation", "name": "a"}, {"kind": "operation", "name": "a"}]),
-    ("lone_anonymous", 2, [{"kind": "operation"}, {"kind": "operation", "name": "a"}]),
-    ("single_field_subscriptions", 3, [{"kind": "operation", "name": "s", "type": "subscription"}, {"kind": "field", "name": "id", "owner": "s", "parent_type": "Customer", "key": "a", "path": "a"}, {"kind": "field", "name": "name", "owner": "s", "parent_type": "Customer", "key": "b", "path": "b"}]),
-    ("known_types", 4, [{"kind": "condition", "type": "Nope", "parent_type": "Party"}]),
-    ("composite_conditions", 5, [{"kind": "condition", "type": "String", "parent_type": "Party"}]),
-    ("input_variables", 6, [{"kind": "variable", "name": "v", "owner": "q", "type": "Customer!"}]),
-    ("scalar_leafs", 7, [{"kind": "field", "name": "name", "owner": "q", "parent_type": "Customer", "path": "name"}, {"kind": "field", "name": "id", "owner": "q", "parent_type": "Nation", "path": "name.id", "parent": "name"}]),
-    ("known_fields", 8, [{"kind": "field", "name": "nope", "owner": "q", "parent_type": "Customer", "path": "nope"}]),
-    ("unique_fragments", 9, [{"kind": "fragment", "name": "f", "type": "Customer"}, {"kind": "fragment", "name": "f", "type": "Customer"}]),
-    ("known_fragments", 10, [{"kind": "spread", "name": "f", "owner": "q", "parent_type": "Customer"}]),
-    ("unused_fragments", 11, [{"kind": "operation", "name": "q"}, {"kind": "fragment", "name": "f", "type": "Customer"}]),
-    ("possible_spreads", 12, [{"kind": "condition", "type": "Order", "parent_type": "Party"}]),
-    ("fragment_cycles", 13, [{"kind": "fragment", "name": "f", "type": "Customer"}, {"kind": "fragment", "name": "g", "type": "Customer"}, {"kind": "spread", "name": "g", "owner": "f", "parent_type": "Customer"}, {"kind": "spread", "name": "f", "owner": "g", "parent_type": "Customer"}]),
-    ("unique_variables", 14, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}, {"kind": "variable", "name": "v", "owner": "q", "type": "Int"}]),
-    ("undefined_variables", 15, [{"kind": "use", "name": "v", "owner": "q", "type": "Int"}]),
-    ("unused_variables", 16, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}]),
-    ("variable_positions", 17, [{"kind": "variable", "name": "v", "owner": "q", "type": "Int"}, {"kind": "use", "name": "v", "owner": "q", "type": "String"}]),
-    ("known_directives", 18, [{"kind": "directive", "name": "nope", "owner": "x", "type": "FIELD"}]),
-    ("directive_places", 19, [{"kind": "directive", "name": "skip", "owner": "x", "type": "QUERY"}]),
-    ("unique_directives", 20, [{"kind": "directive", "name": "skip", "owner": "x", "type": "FIELD"}, {"kind": "directive", "name": "skip", "owner": "x", "type": "FIELD"}]),
-    ("known_arguments", 21, [{"kind": "argument", "name": "nope", "owner": "orders", "parent_type": "Customer.orders"}]),
-    ("unique_arguments", 22, [{"kind": "argument", "name": "status", "owner": "orders", "parent_type": "Customer.orders"}, {"kind": "argument", "name": "status", "owner": "orders", "parent_type": "Customer.orders"}]),
-    ("required_arguments", 23, [{"kind": "field", "name": "orders", "owner": "q", "parent_type": "Customer", "path": "orders"}]),
-    ("argument_values", 24, [{"kind": "argument", "name": "minTotal", "owner": "orders", "parent_type": "Customer.orders", "type": "Float", "value": "string"}]),
-    ("conflicting_keys", 25, [{"kind": "field", "name": "id", "owner": "q", "parent_type": "Customer", "key": "x", "path": "x"}, {"kind": "field", "name": "name", "owner": "q", "parent_type": "Customer", "key": "x", "path": "x"}]),
+    ("", (), [Q, _leaf("id", "id"), ORDERS, TOTAL, ORDER_ID, F_, TO_F, V, USE, {**USE, "owner": "f"}, {"kind": "directive", "name": "skip", "owner": "id", "type": "FIELD"}, {"kind": "argument", "name": "if", "owner": "id", "parent_type": "@skip"}]),
+    ("unique_operations", (), [Q, Q]),
+    ("lone_anonymous", (), [Q, {"kind": "operation"}]),
+    ("single_field_subscriptions", (), [{**Q, "type": "subscription"}, _leaf("id", "a"), _leaf("name", "b")]),
+    ("known_types", ("possible_spreads",), [Q, {"kind": "condition", "type": "Nope", "parent_type": "Party"}]),
+    ("composite_conditions", ("possible_spreads",), [Q, {"kind": "condition", "type": "String", "parent_type": "Party"}]),
+    ("input_variables", (), [Q, {**V, "type": "Customer!"}, {**USE, "type": "Customer!"}]),
+    ("scalar_leafs", (), [Q, _leaf("name", "name"), {"kind": "field", "name": "id", "owner": "q", "parent_type": "Nation", "key": "id", "path": "name.id", "parent": "name"}]),
+    ("known_fields", (), [Q, _leaf("nope", "nope")]),
+    ("unique_fragments", (), [Q, F_, F_, TO_F]),
+    ("known_fragments", (), [Q, TO_F]),
+    ("unused_fragments", (), [Q, F_]),
+    ("possible_spreads", (), [Q, {"kind": "condition", "type": "Order", "parent_type": "Party"}]),
+    ("fragment_cycles", (), [Q, F_, {**F_, "name": "g"}, TO_F, {**TO_F, "name": "g", "owner": "f"}, {**TO_F, "owner": "g"}]),
+    ("unique_variables", (), [Q, V, V, USE]),
+    ("undefined_variables", (), [Q, F_, TO_F, {**USE, "owner": "f"}]),
+    ("unused_variables", (), [Q, V]),
+    ("variable_positions", (), [Q, F_, TO_F, V, {**USE, "type": "String", "owner": "f"}]),
+    ("known_directives", (), [Q, {"kind": "directive", "name": "nope", "owner": "x", "type": "FIELD"}]),
+    ("directive_places", (), [Q, {"kind": "directive", "name": "skip", "owner": "x", "type": "QUERY"}, {"kind": "argument", "name": "if", "owner": "x", "parent_type": "@skip"}]),
+    ("unique_directives", (), [Q, *[{"kind": "directive", "name": "skip", "owner": "x", "type": "FIELD"}] * 2, {"kind": "argument", "name": "if", "owner": "x", "parent_type": "@skip"}]),
+    ("known_arguments", (), [Q, ORDERS, ORDER_ID, TOTAL, {**TOTAL, "name": "nope"}]),
+    ("unique_arguments", (), [Q, ORDERS, ORDER_ID, TOTAL, TOTAL]),
+    ("required_arguments", (), [Q, ORDERS, ORDER_ID]),
+    ("argument_values", (), [Q, ORDERS, ORDER_ID, {**TOTAL, "type": "Float", "value": "string"}]),
+    ("conflicting_keys", (), [Q, _leaf("id", "x"), F_, TO_F, _leaf("name", "x", owner="f")]),
+    ("unique_input_fields", (), [Q, *[{"kind": "input_field", "name": "status", "owner": "orders.filter"}] * 2]),
 )
+#: Rules that are found together with another by one check.
+TOGETHER = {"directive_places": "known_directives"}
+BROKEN = [(TOGETHER.get(r, r), n) for n, (rule, more, _) in enumerate(FAULTS) for r in (rule, *more) if r]
 
 
-@add("validate_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{rule}', {doc}::BIGINT)" for rule, doc, _ in FAULTS) + ") t(rule, doc)")
+@add("validate_rules", f"SELECT rule, event_id AS doc FROM events JOIN (VALUES {', '.join(f"('{rule}', {n})" for rule, n in BROKEN)}) t(rule, n) ON event_id % {len(FAULTS)} = n")
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rule's own faulty document, found among all of them."""
-    from functools import reduce
-
+    """Every rule and document that breaks it, of as many documents as there are events: each has, in turn, the rows of one of ``FAULTS``."""
     columns = [c.split()[0] for c in log_checks.SCHEMA.split(", ")]
-    rows_ = [tuple({"doc": doc, **row}.get(c) for c in columns) for _, doc, rows_of in FAULTS for row in rows_of]
-    stored = spark.createDataFrame(rows_ + [(0, "operation", "ok", *[None] * 7)], log_checks.SCHEMA)
+    parts = spark.createDataFrame([tuple({"doc": n, **row}.get(c) for c in columns) for n, (_, _, rows_of) in enumerate(FAULTS) for row in rows_of], log_checks.SCHEMA)
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % len(FAULTS)).alias("doc"))
+    log_ = stored(events.join(F.broadcast(parts), "doc").drop("doc").withColumnRenamed("id", "doc").select(*columns), "log")  # the parts are FAULTS' rows
     s = schema(spark, sf_dir)
-    types = catalog.types(spark, s, (STATUS, FLAG)).select("name", "kind").unionByName(spark.createDataFrame([("Int", "SCALAR")], "name string, kind string"))
+    types = catalog.types(spark, s, (STATUS, FLAG)).select("name", "kind").unionByName(spark.createDataFrame([("Int", "SCALAR")], "name string, kind string")).distinct()
     fields = catalog.fields(spark, s, include_deprecated=True)
     leafs = fields.join(types.filter(F.col("kind").isin("SCALAR", "ENUM")).select(F.col("name").alias("of_type"), F.lit(True).alias("l")), "of_type", "left").select("type_name", "name", F.coalesce("l", F.lit(False)).alias("leaf"))
     objects = types.filter("kind = 'OBJECT'").select(F.col("name").alias("type_name"), F.col("name").alias("possible"))
     possible = catalog.possible_types(spark, s).unionByName(objects)
-    directives = spark.createDataFrame([(d, p) for d in ("skip", "include") for p in ("FIELD", "FRAGMENT_SPREAD", "INLINE_FRAGMENT")], "name string, location string")
-    arguments = spark.createDataFrame([("Customer.orders", "status", False), ("Customer.orders", "minTotal", True)], "field string, name string, required boolean")
+    directives = catalog.directives(spark, s)
+    arguments = catalog.arguments(spark, s).filter("type_name = 'Customer'").select(F.concat_ws(".", "type_name", "field").alias("field"), "name", (F.col("name") == "minTotal").alias("required"))
+    arguments = arguments.unionByName(catalog.directive_arguments(spark, s).select(F.concat(F.lit("@"), "directive").alias("field"), "name", F.col("type").endswith("!").alias("required")))
     fits = spark.createDataFrame([("Int", "int"), ("Float", "int"), ("Float", "float"), ("String", "string"), ("ID", "int"), ("ID", "string"), ("Boolean", "boolean"), ("OrderStatus", "enum")], "type string, value string")
     of = log_checks
+    reach = stored(of.reachable(log_), "reach")
     found = {
-        "unique_operations": of.unique_names(stored, "operation"), "lone_anonymous": of.lone_anonymous(stored), "single_field_subscriptions": of.single_field_subscriptions(stored), "known_types": of.known_types(stored, types), "composite_conditions": of.composite_conditions(stored, types), "input_variables": of.input_variables(stored, types), "scalar_leafs": of.scalar_leafs(stored, leafs), "known_fields": of.known_fields(stored, fields), "unique_fragments": of.unique_names(stored, "fragment"), "known_fragments": of.known_fragments(stored), "unused_fragments": of.unused_fragments(stored), "possible_spreads": of.possible_spreads(stored, possible), "fragment_cycles": of.fragment_cycles(stored), "unique_variables": of.unique_names(stored, "variable"), "undefined_variables": of.undefined_variables(stored), "unused_variables": of.unused_variables(stored), "variable_positions": of.variable_positions(stored), "known_directives": of.known_directives(stored, directives), "directive_places": of.known_directives(stored, directives), "unique_directives": of.unique_names(stored, "directive"), "known_arguments": of.known_arguments(stored, arguments), "unique_arguments": of.unique_names(stored, "argument"), "required_arguments": of.required_arguments(stored, arguments), "argument_values": of.argument_values(stored, fits), "conflicting_keys": of.conflicting_keys(stored),
-    }
-    own = {rule: doc for rule, doc, _ in FAULTS}
-    return reduce(DataFrame.unionByName, [df.filter(F.col("doc") == own[rule]).select(F.lit(rule).alias("rule"), "doc").distinct() for rule, df in found.items()])
+        **{f"unique_{k}s": of.unique_names(log_, k) for k in ("operation", "fragment", "variable", "directive", "argument", "input_field")},
+        "lone_anonymous": of.lone_anonymous(log_),
+        "single_field_subscriptions": of.single_field_subscriptions(log_),
+        "known_types": of.known_types(log_, types),
+        "composite_conditions": of.composite_conditions(log_, types),
+        "input_variables": of.input_variables(log_, types),
+        "scalar_leafs": of.scalar_leafs(log_, leafs),
+        "known_fields": of.known_fields(log_, fields),
+        "known_fragments": of.known_fragments(log_),
+        "unused_fragments": of.unused_fragments(log_, reach),
+        "possible_spreads": of.possible_spreads(log_, possible),
+        "fragment_cycles": of.fragment_cycles(log_),
+        "undefined_variables": of.undefined_variables(log_, reach),
+        "unused_variables": of.unused_variables(log_, reach),
+        "variable_positions": of.variable_positions(log_, reach),
+        "known_directives": of.known_directives(log_, directives),
+        "known_arguments": of.known_arguments(log_, arguments),
+        "required_arguments": of.required_arguments(log_, arguments),
+        "argument_values": of.argument_values(log_, fits),
+        "conflicting_keys": of.conflicting_keys(log_, fields, types),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), "doc").distinct() for rule, df in found.items()])
 
 
 @add("introspect_possible_types", "SELECT * FROM (VALUES ('Party', 'Customer'), ('Party', 'Supplier')) t(type_name, possible)")
