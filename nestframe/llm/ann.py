@@ -31,7 +31,7 @@ TOGETHER = 256
 BRANCHES, LEAF, ROUNDS = 8, 120, 12
 #: Dimensions that have trees, the most frequent ones.
 DIMENSIONS = 16
-RECALL = 0.97
+RECALL = 0.95
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ def test_queries_visit_few_leaves_of_clusters(clusters):
     index = ann.Index(ann.grow(vectors), {})
     rows = celled(vectors, lambda m: index.cells(m))
     asked = ann._queries(rows.filter(F.col("vec_id") % 50 == 0))
-    index.widths = ann.calibrate(rows, asked, index, 5, 0.97)
+    index.widths = ann.calibrate(rows, asked, index, 5, ann.RECALL)
     sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
     for i in range(0, 8000, 50):
         scanned.append(sum(sizes.get(c, 0) for c, _ in index.visit(x[i])) / len(x))
