@@ -6,6 +6,7 @@ A result coercion gives two columns: the value (null where it can't be represent
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -15,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nestframe.functions.text import quoted, shown
+from nestframe.plans.suggest import did_you_mean
 
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 #: Marks an argument that wasn't given, which differs from null.
@@ -145,18 +147,41 @@ class Enum:
         if value is None:
             return None
         if not isinstance(value, str) or value not in self.values:
-            raise ValueError(f"{self.name} has no value {value!r}")
+            raise Invalid(f"Expected type {self.name}", did_you_mean(value, self.values).strip() if isinstance(value, str) else "")
         return self.values[value]
 
 
 Parser = Callable[[Any], Any]
 
 
+class Invalid(ValueError):
+    """A value that an input type refuses: what was expected, where in the value, and why it is refused."""
+
+    def __init__(self, expected: str, why: str = "", path: str = "") -> None:
+        self.expected, self.why, self.path = expected, why, path
+        super().__init__(expected + (f" at value{path}" if path else "") + (f"; {why}" if why else "."))
+
+    def below(self, step: str) -> Invalid:
+        return Invalid(self.expected, self.why, step + self.path)
+
+
+def _at(step: str, parse: Parser, value: Any) -> Any:
+    """What a part of a value is parsed to; a refusal tells which part."""
+    try:
+        return parse(value)
+    except Invalid as e:
+        raise e.below(step) from None
+
+
+def _leaf(name: str, value: Any) -> Invalid:
+    return Invalid(f"Expected type {name}", f"{name} cannot represent {json.dumps(value, ensure_ascii=False, default=str)}")
+
+
 def parse_int(value: Any) -> Any:
     if value is None:
         return None
     if isinstance(value, bool) or not isinstance(value, int) or not INT_MIN <= value <= INT_MAX:
-        raise ValueError(f"Int cannot represent {value!r}")
+        raise _leaf("Int", value)
     return value
 
 
@@ -164,19 +189,19 @@ def parse_float(value: Any) -> Any:
     if value is None:
         return None
     if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
-        raise ValueError(f"Float cannot represent {value!r}")
+        raise _leaf("Float", value)
     return float(value)
 
 
 def parse_string(value: Any) -> Any:
     if value is not None and not isinstance(value, str):
-        raise ValueError(f"String cannot represent {value!r}")
+        raise _leaf("String", value)
     return value
 
 
 def parse_boolean(value: Any) -> Any:
     if value is not None and not isinstance(value, bool):
-        raise ValueError(f"Boolean cannot represent {value!r}")
+        raise _leaf("Boolean", value)
     return value
 
 
@@ -184,7 +209,7 @@ def parse_id(value: Any) -> Any:
     if value is None:
         return None
     if isinstance(value, bool) or not isinstance(value, int | str):
-        raise ValueError(f"ID cannot represent {value!r}")
+        raise _leaf("ID", value)
     return str(value)
 
 
@@ -194,36 +219,39 @@ def parse_list(item: Parser) -> Parser:
     def parse(value: Any) -> Any:
         if value is None:
             return None
-        return [item(v) for v in value] if isinstance(value, list | tuple) else [item(value)]
+        return [_at(f"[{i}]", item, v) for i, v in enumerate(value)] if isinstance(value, list | tuple) else [item(value)]
 
     return parse
 
 
-def required(item: Parser) -> Parser:
+def required(item: Parser, type_: str = "") -> Parser:
     def parse(value: Any) -> Any:
         if value is None:
-            raise ValueError("Expected a non-null value")
+            raise Invalid(f"Expected non-nullable type {type_} not to be null".replace("  ", " "))
         return item(value)
 
+    parse.type = type_  # type: ignore[attr-defined]
     return parse
 
 
-def parse_object(name: str, **fields: Any) -> Parser:
-    """An input object; a field is a parser, or a parser and a default."""
+def parse_object(name: str, /, **fields: Any) -> Parser:
+    """An input object; a field is a parser, or a parser and a default. A required field without a default has to be given."""
     known = {k: v if isinstance(v, tuple) else (v, UNSET) for k, v in fields.items()}
 
     def parse(value: Any) -> Any:
         if value is None:
             return None
         if not isinstance(value, Mapping):
-            raise ValueError(f"Expected type {name} to be an object")
+            raise Invalid(f"Expected type {name} to be an object")
         if unknown := [k for k in value if k not in known]:
-            raise ValueError(f"Field {unknown[0]!r} is not defined by type {name}")
+            raise Invalid(f'Field "{unknown[0]}" is not defined by type {name}', did_you_mean(unknown[0], known).strip())
         out = {}
         for k, (item, default) in known.items():
             v = value.get(k, default)
             if v is not UNSET:
-                out[k] = item(v)
+                out[k] = _at(f".{k}", item, v)
+            elif (type_ := getattr(item, "type", None)) is not None:
+                raise Invalid(f"Field value.{k} of required type {type_} was not provided")
         return out
 
     return parse

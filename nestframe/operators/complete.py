@@ -6,7 +6,7 @@ that may be null. What follows a null that goes up, within what it nulls, has no
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Container, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -51,6 +51,19 @@ def type_text(of: object) -> str:
     return of.name if isinstance(of, Leaf) else str(of)
 
 
+def is_subtype(a: str, b: str, possible: Callable[[str], Container[str]] = lambda name: ()) -> bool:
+    """Whether every value of the type ``a`` is one of ``b``, both as they are written; ``possible``: the members of an abstract type."""
+    if a == b:
+        return True
+    if b.endswith("!"):
+        return a.endswith("!") and is_subtype(a[:-1], b[:-1], possible)
+    if a.endswith("!"):
+        return is_subtype(a[:-1], b, possible)
+    if a.startswith("[") or b.startswith("["):
+        return a.startswith("[") and b.startswith("[") and is_subtype(a[1:-1], b[1:-1], possible)
+    return a in possible(b)
+
+
 @dataclass(frozen=True)
 class Done:
     """A completed value; its errors (an array, never null; None: it can have none), and whether it is null where its type

@@ -8,6 +8,7 @@ isn't read: a plan projects the columns that the selection names and nothing els
 
 from __future__ import annotations
 
+import json as js
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestframe.functions.coerce import UNSET, Coerced, Parser
-from nestframe.operators.complete import Coercion, Done, Leaf, ListOf, NonNull, fields_of, item, items_of, leaf, none, raised, required, result_json
+from nestframe.operators.complete import Coercion, Done, Leaf, ListOf, NonNull, fields_of, is_subtype, item, items_of, leaf, none, raised, required, result_json
 from nestframe.plans.suggest import did_you_mean
 
 
@@ -118,10 +119,12 @@ class Spread:
 
 @dataclass(frozen=True)
 class Variable:
-    """Stands for a value given at run time, or for its default."""
+    """Stands for a value given at run time, or for its default; ``parse`` and ``type`` (as it is written) are those of its declaration."""
 
     name: str
     default: Any = UNSET
+    parse: Parser | None = None
+    type: str = ""
 
 
 class Info(dict):
@@ -163,7 +166,7 @@ class ByName:
         return info.column(self.prefix + name)
 
 
-def pick(name: str, *children: Pick | Spread, alias: str | None = None, skip: Any = False, include: Any = True, **args: Any) -> Pick:
+def pick(name: str, /, *children: Pick | Spread, alias: str | None = None, skip: Any = False, include: Any = True, **args: Any) -> Pick:
     return Pick(name, children, alias, args, skip, include)
 
 
@@ -220,6 +223,10 @@ class Schema:
             return set(t.members)
         return {name}
 
+    def subtype(self, a: str, b: str) -> bool:
+        """Whether a value of the type ``a`` can stand where ``b`` is wanted, both as they are written."""
+        return is_subtype(a, b, lambda name: self.possible(name) if isinstance(self.types.get(name), AbstractType) else ())
+
     def is_a(self, name: str, condition: str) -> bool:
         return name in self.possible(condition) or condition in getattr(self.types[name], "interfaces", ())
 
@@ -232,13 +239,25 @@ class Selector:
 
     def value(self, given: Any) -> Any:
         if isinstance(given, Variable):
-            return self.variables.get(given.name, given.default)
+            return self.variable(given)
         if isinstance(given, list):
             return [None if (v := self.value(x)) is UNSET else v for x in given]
         if isinstance(given, dict):
             return {k: v for k, x in given.items() if (v := self.value(x)) is not UNSET}
         return given
 
+    def variable(self, v: Variable) -> Any:
+        value = self.variables.get(v.name, v.default)
+        if v.type.endswith("!") and (value is UNSET or value is None):
+            raise SelectionError(f'Variable "${v.name}" of required type "{v.type}" was not provided.' if value is UNSET else f'Variable "${v.name}" of non-null type "{v.type}" must not be null.')
+        if v.parse is None or value is UNSET:
+            return value
+        try:
+            v.parse(value)
+        except ValueError as e:
+            raise SelectionError(f'Variable "${v.name}" got invalid value {js.dumps(value, default=str)}; {e}') from None
+        return value  # the argument's own parser makes of it what it needs
+
     def on(self, p: Pick | Spread) -> bool:
         return bool(self.value(p.include)) and not self.value(p.skip)
 

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nestframe.operators.complete import is_subtype
 from nestframe.plans.suggest import distance
 from nestframe.storage import stored as _stored
 
@@ -201,9 +202,12 @@ def variable_positions(log: DataFrame, reach: DataFrame | None = None) -> DataFr
     """Uses where a type is expected that the variable's isn't: it may only be stricter about nulls."""
     variables = _variables(log).select("doc", "operation", "name", F.col("type").alias("given"), F.col("value").alias("default"))
     given = F.when(F.col("default").isNotNull() & ~F.col("given").endswith("!"), F.concat("given", F.lit("!"))).otherwise(F.col("given"))
-    used = _uses(log, reach).filter(F.col("type").isNotNull()).join(variables, ["doc", "operation", "name"])
-    fits = (given == F.col("type")) | (given == F.concat("type", F.lit("!"))) | (F.regexp_replace(given, "!", "") == F.col("type"))
-    return _bad(used.filter(~fits), "Variable of its type used in position expecting another type")
+    used = _uses(log, reach).filter(F.col("type").isNotNull()).join(variables, ["doc", "operation", "name"]).withColumn("given", given)
+    # A pair of types is compared once, however often it occurs.
+    fits = F.pandas_udf(lambda a, b: pd.Series([is_subtype(x, y) for x, y in zip(a, b, strict=True)]), "boolean")
+    wrong = used.select("given", "type").filter("given <> type").distinct().filter(~fits("given", "type"))
+    message = F.concat(F.lit('Variable of type "'), "given", F.lit('" used in position expecting type "'), "type", F.lit('"'))
+    return _bad(used.join(wrong, ["given", "type"], "left_semi"), message)
 
 
 def known_directives(log: DataFrame, directives: DataFrame) -> DataFrame:

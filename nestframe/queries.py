@@ -265,6 +265,14 @@ def edge_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_brand", F.col("data.sure").isNull().alias("is_null"), F.array_join(F.get("errors", F.lit(0))["path"], ".").alias("path"))
 
 
+rows("map_source", "Event", pick("id"), pick("props", pick("k"), pick("missing")), flat={"id": "id", "k": "props.k", "missing": "props.missing"}, sql="SELECT event_id::VARCHAR AS id, json_extract_string(props, '$.k')::INT AS k, NULL::VARCHAR AS missing FROM events")
+
+
+@add("introspect_predicates", "SELECT * FROM (VALUES ('Customer', false, true, true, false, false), ('Party', false, true, true, false, true), ('OrderFilter', true, false, false, false, false), ('OrderStatus', true, true, false, true, false), ('Float', true, true, false, true, false)) t(name, is_input, is_output, is_composite, is_leaf, is_abstract)")
+def introspect_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.predicates(spark, schema(spark, sf_dir), (STATUS, FLAG)).filter(F.col("name").isin("Customer", "Party", "OrderFilter", "OrderStatus", "Float"))
+
+
 # Numbers as text.
 NUMBERS = ("1", "0.5", "12345678.5", "1000000000000000", "300000000000000000000", "1e21", "0.0000001", "0.000001", "-2.25", "0")
 NUMBER_SQL = "SELECT event_id, [{}][(event_id % 10)::INT + 1] AS text FROM events"

@@ -75,6 +75,8 @@ def schema(spark: SparkSession, sf_dir: str) -> Schema:
         ObjectType("KeptLine", baskets, {**held, "quantity": Field("l_quantity", C.to_float, "double", type_name="Float")}),
         ObjectType("Basket", baskets, {"id": ident("l_orderkey"), "first": Field("first", of="KeptLine"), "lines": Field("lines", of=ListOf("BasketLine")), "pairs": Field("pairs", of=ListOf(ListOf(small))), "strict": Field("pairs", of=ListOf(ListOf(NonNull(small))))}, (), "l_orderkey"),
         AbstractType("BasketLine", ("ReturnedLine", "KeptLine"), lambda info: F.when(info.column("l_returnflag") == "R", F.lit("ReturnedLine")).when(info.column("l_returnflag") == "N", F.lit("KeptLine"))),
+        ObjectType("Props", t("events"), {"k": Field("k", C.to_int, "string", type_name="Int"), "missing": Field("none", C.to_string, "string")}),
+        ObjectType("Event", t("events"), {"id": Field("event_id", C.to_id, "bigint", type_name="ID"), "props": Field(lambda info: F.from_json(info.column("props"), "map<string,string>"), of="Props")}, (), "event_id"),
         ObjectType("Click", t("events"), {"id": Field("event_id", C.to_id, "bigint", type_name="ID"), "user": Field("user_id", C.to_id, "bigint", type_name="ID")}),
         ObjectType("Purchase", t("events"), {"id": Field("event_id", C.to_id, "bigint", type_name="ID"), "amount": number("value")}),
         AbstractType("Activity", ("Click", "Purchase"), lambda info: F.initcap(info.column("event_type")), t("events")),

@@ -113,3 +113,40 @@ def test_text(spark):
     assert [row(text.number, v) for v in (12345678.5, 1e15, 3e20, 1.5e-7, 1e-6, -0.0)] == ["12345678.5", "1000000000000000", "300000000000000000000", "1.5e-7", "0.000001", "-0"]
     assert row(text.number, float("inf")) is None
     assert [row(text.shown, v) for v in (1e5, 123456789.0, 1e-5, 1e100, -1.1, float("-inf"))] == ["100000", "1.23456789e+08", "1e-05", "1e+100", "-1.1", "-Inf"]
+
+
+@pytest.mark.parametrize(
+    ("parse", "value", "message"),
+    [
+        (C.parse_object("P", a=C.parse_list(C.parse_int)), {"a": [1, "x"]}, 'Expected type Int at value.a[1]; Int cannot represent "x"'),
+        (C.parse_object("P", a=C.parse_object("Q", b=C.required(C.parse_int, "Int!"))), {"a": {"b": None}}, "Expected non-nullable type Int! not to be null at value.a.b."),
+        (C.parse_object("P", a=C.required(C.parse_int, "Int!")), {}, "Field value.a of required type Int! was not provided."),
+        (C.parse_object("P", name=C.parse_int), {"nmae": 1}, 'Field "nmae" is not defined by type P; Did you mean "name"?'),
+        (C.parse_list(C.parse_list(C.parse_boolean)), [[True], [1]], "Expected type Boolean at value[1][0]; Boolean cannot represent 1"),
+        (C.Enum("E", {"RED": 1}).parse, "REDD", 'Expected type E; Did you mean "RED"?'),
+    ],
+)
+def test_refused_inputs_say_where(parse, value, message):
+    with pytest.raises(ValueError) as e:
+        parse(value)
+    assert str(e.value) == message
+
+
+def test_variables(people):
+    given = lambda v, **values: Selector(people, values).value(v)
+    assert given(Variable("v", 3)) == 3 and given([Variable("v"), 1]) == [None, 1] and given({"a": Variable("v"), "b": 1}) == {"b": 1}
+    assert given(Variable("v", parse=C.parse_int), v=4) == 4
+    for v, values, message in (
+        (Variable("v", type="Int!"), {}, 'Variable "$v" of required type "Int!" was not provided.'),
+        (Variable("v", type="Int!"), {"v": None}, 'Variable "$v" of non-null type "Int!" must not be null.'),
+        (Variable("v", parse=C.parse_list(C.parse_int)), {"v": ["x"]}, 'Variable "$v" got invalid value ["x"]; Expected type Int at value[0]; Int cannot represent "x"'),
+    ):
+        with pytest.raises(SelectionError) as e:
+            given(v, **values)
+        assert str(e.value) == message
+
+
+def test_subtypes(people):
+    yes = [("Int", "Int"), ("Int!", "Int"), ("[Int!]!", "[Int]"), ("[[Int!]!]!", "[[Int!]]"), ("Person", "Named"), ("[Person!]", "[Named]")]
+    no = [("Int", "Int!"), ("[Int]", "Int"), ("Int", "[Int]"), ("[Int]!", "[Int!]"), ("Named", "Person"), ("String", "Int")]
+    assert all(people.subtype(a, b) for a, b in yes) and not any(people.subtype(a, b) for a, b in no)
