@@ -25,7 +25,9 @@ def row_key() -> Column:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts; it learns from the labels that op1 learns from.
 
-    Scores go with the texts in one pass; a rejected document goes, all of its copies too, as they score alike."""
+    Scores go with the texts in one pass; a rejected document goes, all of its copies too, as they score alike. Null texts score as
+    empty ones. Without labels of both kinds every row stays or goes by the share of good labels (half without labels). An empty table stays empty; columns
+    other than those of documents are dropped."""
     labels = read(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2)
     model = quality.learn(docs, labels)
     return quality.accepted(docs.select(*COLUMNS), model)
@@ -34,7 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: five-word shingles, Jaccard 0.8; the smallest doc_id stays, a null one last, then the smallest hash of the row.
 
-    Rows that repeat a doc_id, or have none, are told apart by their content. Rows without words are no duplicates and stay."""
+    Rows that repeat a doc_id, or have none, are told apart by their content. Rows without words (null and empty texts among them) are no duplicates and stay, each
+    time they occur. Texts of any length are compared as wholes. An empty table stays empty; columns other than those of documents are dropped."""
     keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
     scratch = Scratch(spark)
     linked = scratch.keep(jaccard.link(keyed.select(F.col("row_key").alias("doc_id"), "text"), k=5, percent=80).filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct(), "linked")
@@ -49,14 +52,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind and n_chars by the new length.
+
+    Null texts stay null, and so does their n_chars; rows that repeat stay as often. An empty table stays empty; columns other than those of documents are dropped."""
     return pii.redacted(docs.select(*COLUMNS), pii.learn(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document comes once for each of its epochs, and once more if the rest of its source's budget reaches it.
 
-    Good labels weigh 2, bad ones 1, no label 1.5, as in op10. Documents without words are no part of a mix."""
+    Good labels weigh 2, bad ones 1, no label 1.5, as in op10. Documents without words (null and empty texts among them) are no part of a mix. Rows that repeat are
+    drawn together and come as often as all of them. A null source is a source. An empty table stays empty; columns other than those of documents are dropped."""
     keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
     sized = mixing.weighed(keyed.select("row_key", "doc_id", "source", mixing.word_count(F.col("text")).alias("words")), read(spark, sf_dir, "labels"))
     # Equal rows have one key; together they come as often as all of them.
@@ -66,7 +72,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's SentencePiece ids: doc_id, source, n_tokens, ids, and whether the ids decode to its text."""
+    """Each document's SentencePiece ids: doc_id, source, n_tokens, ids, and ``whole``, whether the ids decode to its text.
+
+    Null and empty texts have no ids and are whole; rows that repeat are encoded each. An empty table gives an empty result."""
     import public_tokenizers
 
     return spm.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -133,7 +133,7 @@ def test_refused_inputs_say_where(parse, value, message):
 
 
 def test_variables(people):
-    given = lambda v, **values: Selector(people, values).value(v)
+    given = lambda what, **values: Selector(people, values).value(what)
     assert given(Variable("v", 3)) == 3 and given([Variable("v"), 1]) == [None, 1] and given({"a": Variable("v"), "b": 1}) == {"b": 1}
     assert given(Variable("v", parse=C.parse_int), v=4) == 4
     for v, values, message in (
