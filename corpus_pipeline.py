@@ -66,7 +66,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keyed = docs.select(*COLUMNS, row_key().alias("row_key"))
     sized = mixing.weighed(keyed.select("row_key", "doc_id", "source", mixing.word_count(F.col("text")).alias("words")), read(spark, sf_dir, "labels"))
     # Equal rows have one key; together they come as often as all of them.
-    taken = mixing.mix(sized, quality="w", size="words", key="row_key").groupBy("row_key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("times")).filter("times > 0")
+    taken = mixing.mix(sized, quality="w", size="words", key="row_key").filter("size > 0").groupBy("row_key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("times")).filter("times > 0")
     times = F.sequence(F.lit(1), F.col("times").cast("int"))
     return keyed.dropDuplicates(["row_key"]).join(taken, "row_key").withColumn("time", F.explode(times)).select(*COLUMNS)
 
