@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestframe.llm import jaccard, mixing, pii, quality, spm
-from nestframe.llm.common import WORD, fold, new_path, read
+from nestframe.llm.common import WORD, fold, read
 from nestframe.storage import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -93,10 +93,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's rows are written as Parquet and read again as the next one's documents."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on ``documents``; each one's rows are written as Parquet and read again as the next one's documents, and emptied when that one is done."""
+    scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
