@@ -22,8 +22,8 @@ from nestframe.llm.common import fold, read
 from nestframe.llm.shingles import BASE, mix64
 
 ORDER = 5
-#: Bounds of what is learned from: documents a language, and characters of a text.
-DOCS_A_LANGUAGE, CHARS = 400, 20_000
+#: Bounds of what is learned from: documents a language, characters of a text, and languages, the most frequent ones.
+DOCS_A_LANGUAGE, CHARS, LANGUAGES = 400, 20_000, 256
 #: Words that a task remembers, of up to so many characters, and how many of them, the first and so the frequent ones, it keeps when these
 #: are full. Forgetting only costs time.
 MEMORY, SHORT, KEPT_WORDS = 400_000, 64, 60_000
@@ -229,17 +229,17 @@ def choose(model: Model, losses: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return found, score, entropy, (size > 0) & (entropy <= model.limit) & (score >= 0.5)
 
 
-def draw(docs: DataFrame, each: int = DOCS_A_LANGUAGE, chars: int = CHARS) -> list:
+def draw(docs: DataFrame, each: int = DOCS_A_LANGUAGE, chars: int = CHARS, languages: int = LANGUAGES) -> list:
     """About ``each`` documents (text, lang) a language at most, by a hash of doc_id: what the driver learns from.
 
     Languages are counted over all documents, then each row is kept or not by itself, so that no language's rows meet in one task."""
     usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * each / n)))])
     h = F.xxhash64(F.lit("language"), "doc_id")
-    kept = usable.filter(F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).select("lang", "text", h.alias("h"))
+    kept = usable.filter(F.pmod(h, F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)).select("lang", "text", h.alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank").collect()
 
