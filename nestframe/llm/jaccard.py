@@ -379,12 +379,13 @@ def members(scratch: Scratch, sets: DataFrame) -> DataFrame:
     """key, tag (of a node), nodes (how many nodes the key has) of keys that more than one node has."""
     rows = sets.filter(F.col("keys").isNotNull()).select(tag("node").alias("tag"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo < hi").select("key")
+    shared = scratch.keep(shared, "shared")  # so that its shuffle is gone when the rows are shuffled again
     member = scratch.keep(rows.join(shared, "key").distinct(), "members")
     # Near copies share most of their keys: of keys with the same nodes (by two hashes) one is kept.
     alike = member.groupBy("key").agg(F.count("*").alias("nodes"), *(F.bit_xor(F.xxhash64(F.lit(i), "tag")).alias(f"h{i}") for i in (0, 1)))
     kept = alike.groupBy("nodes", "h0", "h1").agg(F.min("key").alias("key")).select("key", "nodes")
     out = scratch.keep(member.join(kept, "key"), "keys")
-    scratch.drop(member)
+    scratch.drop(shared, member)
     return out
 
 
