@@ -1,4 +1,4 @@
-"""Non-null items and field errors, as expressions over structs and arrays."""
+"""Non-null items, as expressions over arrays."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from nestframe.functions.coerce import Coerced
 
-ERROR = "struct<message:string,path:array<string>>"
-
 
 def non_null_items(items: Column) -> Column:
     """A list whose items may not be null: null as a whole where one is."""
@@ -21,26 +19,3 @@ def items(values: Column, item: Callable[[Column], Coerced], non_null: bool = Fa
     """Each item coerced; an item that can't be is null, or, where items may not be null, the whole list."""
     out = F.transform(values, lambda x: item(x).value)
     return non_null_items(out) if non_null else out
-
-
-def error(c: Coerced, *path: str) -> Column:
-    """A field's errors: none or one."""
-    none = F.array().cast(f"array<{ERROR}>")
-    if c.message is None:
-        return none
-    one = F.array(F.struct(c.message.alias("message"), F.array(*[F.lit(p) for p in path]).alias("path")))
-    return F.when(c.message.isNotNull(), one.cast(f"array<{ERROR}>")).otherwise(none)
-
-
-def missing(value: Column, owner: str, name: str, *path: str) -> Column:
-    """The error of a null in a non-null field."""
-    one = F.array(F.struct(F.lit(f"Cannot return null for non-nullable field {owner}.{name}.").alias("message"), F.array(*[F.lit(p) for p in path]).alias("path")))
-    return F.when(value.isNull(), one.cast(f"array<{ERROR}>")).otherwise(F.array().cast(f"array<{ERROR}>"))
-
-
-def envelope(data: Column, *errors: Column) -> Column:
-    """A JSON result: errors first and only if there are some, nulls kept in the data."""
-    all_errors = F.concat(*errors) if errors else F.array().cast(f"array<{ERROR}>")
-    keep = {"ignoreNullFields": "false"}
-    body = F.to_json(F.struct(data.alias("data")), keep)
-    return F.when(F.size(all_errors) > 0, F.concat(F.lit('{"errors":'), F.to_json(all_errors, keep), F.lit(","), F.substring(body, 2, 1 << 30))).otherwise(body)
