@@ -174,11 +174,13 @@ class Pieces:
         self.start, self.end, self.owner = (np.array(x, np.int64) for x in (start, end, owner))
         c = self.code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         digit, upper, lower = (c >= 48) & (c <= 57), (c >= 65) & (c <= 90), (c >= 97) & (c <= 122)
-        self.alnum = digit | upper | lower | (c > 127)
-        kind = digit + 2 * upper + 3 * (lower | (c > 127))
+        known = np.unique(c[c > 127])
+        lower |= np.isin(c, known[np.array([chr(x).isalpha() for x in known.tolist()], bool)]) if len(known) else False
+        self.alnum = digit | upper | lower
+        kind = digit + 2 * upper + 3 * lower
         changes = np.zeros(len(c), bool)
         changes[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-        signs = [digit, upper, lower | (c > 127), c == 64, c == 46, c == 45, (c == 32) | (c == 9), (c == 40) | (c == 41), c == 43, (c == 58) | (c == 47), (c == 95), changes]
+        signs = [digit, upper, lower, c == 64, c == 46, c == 45, (c == 32) | (c == 9), (c == 40) | (c == 41), c == 43, (c == 58) | (c == 47), (c == 95), changes]
         self.sums = np.zeros((len(c) + 1, len(signs)), np.int32)
         np.cumsum(np.column_stack(signs), 0, np.int32, self.sums[1:])
         n_digit = self.sums[:, 0].astype(np.int64)
