@@ -34,12 +34,13 @@ class Arg:
 
 @dataclass(frozen=True)
 class Field:
-    """A column, an expression of what is known of the field (``Info``), or, without a source, what the default resolver gives.
+    """A column, an expression of what is known of the field (``Info``), which may fail by a message of its own (``Coerced``), or, without a source, what the
+    default resolver gives.
 
     ``of`` is the type of what it holds: leaves, embedded objects by their type's name, lists and non-null types of these. Where it
     isn't given, the field is a leaf by ``coerce``, ``kind`` and ``type_name``."""
 
-    source: str | Callable[[Info], Column] | None = None
+    source: str | Callable[[Info], Column | Coerced] | None = None
     coerce: Coercion | None = None
     kind: str = ""
     non_null: bool = False
@@ -328,9 +329,18 @@ class Selector:
                 # The column holds no list, whatever its rows are.
                 out[key] = Done(F.lit(None).cast("string"), raised(f"Expected Iterable, but did not find one for field {where}.", c.isNotNull()), F.lit(True) if of is not listed else None)
                 continue
-            out[key] = self.complete(of, c, where, info)
+            out[key] = self.complete(of, c, where, info) if not isinstance(c, Coerced) else self.failing(of, c, where, info)
         return df, out
 
+    def failing(self, of: Any, c: Coerced, where: str, info: Info) -> Done:
+        """The value of a resolver that may fail: where it has a message, that is the field's only error, and its value null."""
+        done = self.complete(of, c.value, where, info)
+        if c.message is None:
+            return done
+        value = F.when(c.message.isNull(), done.value)
+        errors = F.when(c.message.isNotNull(), raised(c.message, F.lit(True))).otherwise(none() if done.errors is None else done.errors)
+        return Done(value, errors, value.isNull() if isinstance(of, NonNull) else None)
+
     def complete(self, of: Any, c: Column, where: str, info: Info) -> Done:
         """A column's value as its type wants it."""
         if isinstance(of, NonNull):

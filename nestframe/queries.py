@@ -273,6 +273,17 @@ def introspect_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.predicates(spark, schema(spark, sf_dir), (STATUS, FLAG)).filter(F.col("name").isin("Customer", "Party", "OrderFilter", "OrderStatus", "Float"))
 
 
+@add("resolver_errors", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_name END AS name, CASE WHEN p_size % 5 = 0 THEN 'no name for ' || p_partkey END AS message, p_size % 5 = 0 AS sure_is_null FROM part")
+def resolver_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field whose resolver fails for some rows, in a place that may be null and in one that may not."""
+    resolve = lambda info: C.Coerced(info.column("p_name"), F.when(info.column("p_size") % 5 == 0, F.concat(F.lit("no name for "), info.column("p_partkey"))))
+    fields = {"name": Field(resolve), "sure": Field(resolve, non_null=True)}
+    parts = Selector(Schema.of(ObjectType("Part", lambda: read(spark, sf_dir, "part"), fields, (), "p_partkey")))
+    name = parts.results("Part", pick("name"), keep=("p_partkey",)).select("p_partkey", "data.name", F.get("errors", F.lit(0))["message"].alias("message"))
+    sure = parts.results("Part", pick("sure"), keep=("p_partkey",)).select("p_partkey", F.col("data").isNull().alias("sure_is_null"))
+    return name.join(sure, "p_partkey")
+
+
 # Numbers as text.
 NUMBERS = ("1", "0.5", "12345678.5", "1000000000000000", "300000000000000000000", "1e21", "0.0000001", "0.000001", "-2.25", "0")
 NUMBER_SQL = "SELECT event_id, [{}][(event_id % 10)::INT + 1] AS text FROM events"
